@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import components, survivorship, venues
+from citeloom.llm import components, leakage, markup, survivorship, venues
 from citeloom.runtime import cut, table
 
 
@@ -42,10 +42,45 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.survivors(records, groups).select("group_id", "field", "record_id")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title, raw field and abstract that holds markup."""
+    rows = markup.texts(table(spark, sf_dir, "bib_entries"), table(spark, sf_dir, "source_records"))
+    return markup.convert(rows, with_clean=False).filter("has_markup").select("table_name", "row_id", "field").distinct()
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean text of every text that holds markup."""
+    rows = markup.texts(table(spark, sf_dir, "bib_entries"), table(spark, sf_dir, "source_records"))
+    return markup.convert(rows).filter("has_markup").select("table_name", "row_id", "field", "clean").distinct()
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the items whose passages it contains."""
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per test item: documents that leak it and the longest verbatim match in tokens (64 = or longer)."""
+    leaks = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("longest").alias("longest"))
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that stay after all affected ones are removed."""
+    documents = table(spark, sf_dir, "documents")
+    leaks = cut(leakage.find_leaks(documents, table(spark, sf_dir, "eval_items")), "leaks")
+    return leakage.remove_leaked(documents, leaks).select("doc_id", "source", "doc_kind")
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p7_found": p7_found,
+    "p7_clean": p7_clean,
+    "p9_found": p9_found,
+    "p9_report": p9_report,
+    "p9_kept": p9_kept,
 }
 SQL: dict[str, str] = {}
