@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import components, leakage, markup, survivorship, venues
+from citeloom.llm import components, leakage, markup, subjects, survivorship, venues
 from citeloom.runtime import cut, table
 
 
@@ -72,6 +72,21 @@ def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.remove_leaked(documents, leaks).select("doc_id", "source", "doc_kind")
 
 
+def p10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subject_mixtures(*(table(spark, sf_dir, t) for t in ("documents", "doc_labels", "subject_areas")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the subject areas it is about."""
+    return subjects.assign(p10_mix(spark, sf_dir))
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composition of the corpus: documents per subject area, and the sum of their shares."""
+    mix = p10_mix(spark, sf_dir).filter(F.col("evidence") >= subjects.EVIDENCE)
+    return mix.groupBy("subject_id").agg(F.count_if(F.col("share") >= subjects.SHARE).alias("n_docs"), F.round(F.sum("share"), 3).alias("weight"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
@@ -82,5 +97,7 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_report": p9_report,
     "p9_kept": p9_kept,
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
 }
 SQL: dict[str, str] = {}
