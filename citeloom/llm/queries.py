@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import components, leakage, markup, subjects, survivorship, venues
+from citeloom.llm import components, leakage, markup, packing, subjects, survivorship, venues
 from citeloom.runtime import cut, table
 
 
@@ -54,6 +54,16 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.convert(rows).filter("has_markup").select("table_name", "row_id", "field", "clean").distinct()
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its container."""
+    return packing.pack(cut(packing.token_counts(table(spark, sf_dir, "documents")), "sizes"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every container with its pieces, tokens and unused space."""
+    return packing.containers(p8_packed(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the items whose passages it contains."""
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -94,6 +104,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_clean": p7_clean,
+    "p8_packed": p8_packed,
+    "p8_containers": p8_containers,
     "p9_found": p9_found,
     "p9_report": p9_report,
     "p9_kept": p9_kept,
