@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import components, leakage, markup, packing, subjects, survivorship, venues
+from citeloom.llm import components, leakage, markup, names, packing, subjects, survivorship, venues
 from citeloom.runtime import cut, table
 
 
@@ -42,6 +42,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.survivors(records, groups).select("group_id", "field", "record_id")
 
 
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every author string with the cluster of spellings it belongs to."""
+    return names.clusters(names.author_names(table(spark, sf_dir, "bib_entries"), table(spark, sf_dir, "source_records")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two different strings that mean the same author."""
+    return names.variant_pairs(p6_clusters(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every title, raw field and abstract that holds markup."""
     rows = markup.texts(table(spark, sf_dir, "bib_entries"), table(spark, sf_dir, "source_records"))
@@ -102,6 +112,8 @@ QUERIES = {
     "p3_unmatched": p3_unmatched,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_clusters": p6_clusters,
     "p7_found": p7_found,
     "p7_clean": p7_clean,
     "p8_packed": p8_packed,
