@@ -65,7 +65,7 @@ ORG_WORDS = {
 _ORG_SHORT = {s: w for w, many in ORG_WORDS.items() for s in many.split()} | {"center": "centre"}
 _ORG_STOP = {"the", "of", "for", "and", "in", "on", "at", "de", "la", "du"}
 
-_LETTER = str.maketrans({"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ı": "i", "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "’": "'", "ʼ": "'"})
+LETTERS = str.maketrans({"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ı": "i", "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "’": "'", "ʼ": "'"})
 _TEX_LETTER = re.compile(r"\\(aa|AA|ae|AE|oe|OE|ss|o|O|l|L|i|j)(?![A-Za-z])\s*(?:\{\})?")
 _TEX_ACCENT = re.compile(r"\\(?:[\"'`^~=.]|[A-Za-z](?=\s*\{))\s*")
 _WORDS = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*\.?")
@@ -75,8 +75,8 @@ def fold(name: str) -> str:
     """Name without LaTeX, braces, accents and homonym number; case is kept."""
     s = _TEX_LETTER.sub(lambda m: {"aa": "a", "AA": "A"}.get(m[1], m[1]), name)
     s = _TEX_ACCENT.sub("", s).replace("{", "").replace("}", "").replace("~", " ").replace("\\", "")
-    s = unicodedata.normalize("NFKD", s.translate(_LETTER))
-    s = "".join(c for c in s if not unicodedata.combining(c)).translate(_LETTER)
+    s = unicodedata.normalize("NFKD", s.translate(LETTERS))
+    s = "".join(c for c in s if not unicodedata.combining(c)).translate(LETTERS)
     return re.sub(r"\s+\d{1,4}\s*$", "", s).strip()
 
 
@@ -94,7 +94,8 @@ def _german(word: str) -> str:
     return re.sub(r"^(j)ue|^(s)oe", lambda m: (m[1] or m[2]) + ("u" if m[1] else "o"), word)
 
 
-def _surname(words: list[str]) -> str:
+def surname(words: list[str]) -> str:
+    """Comparable form of the words of a surname: particles, hyphens and case left out."""
     kept = [w for w in words if w.lower().rstrip(".") not in PARTICLES] or words
     s = "".join(kept).lower().replace("'", "").replace(".", "")
     return re.sub(r"^(?:al|el)-", "", s).replace("-", "")
@@ -124,7 +125,7 @@ def parse(name: str, known_given: set[str]) -> tuple[str, str, list[str]]:
     if not words:
         return "", "", []
     if rest:
-        return "p", _surname(words), [g for w in rest for g in _given(w, shouting)]
+        return "p", surname(words), [g for w in rest for g in _given(w, shouting)]
 
     def initial(w: str) -> bool:
         bare = w.rstrip(".")
@@ -136,14 +137,14 @@ def parse(name: str, known_given: set[str]) -> tuple[str, str, list[str]]:
     if initial(words[-1]):  # Smith J
         cut_at = next((i for i, w in enumerate(words) if initial(w)), len(words))
         if cut_at > 0:
-            return "p", _surname(words[:cut_at]), [g for w in words[cut_at:] for g in _given(w, shouting)]
+            return "p", surname(words[:cut_at]), [g for w in words[cut_at:] for g in _given(w, shouting)]
     last = words[-1].lower()
     if len(full) > 1 and last in known_given and words[0].lower() not in known_given and not initial(words[0]):
-        return "p", _surname(words[:-1]), _given(words[-1], shouting)  # Smith John
+        return "p", surname(words[:-1]), _given(words[-1], shouting)  # Smith John
     at = 1 if len(words) > 1 else 0
     while at < len(words) - 1 and (initial(words[at]) or words[at].lower() in known_given):
         at += 1
-    return "p", _surname(words[at:]), [g for w in words[:at] for g in _given(w, shouting)]
+    return "p", surname(words[at:]), [g for w in words[:at] for g in _given(w, shouting)]
 
 
 _CLASS = {c: k for k, group in {"1": "bfpv", "2": "cgjkqsxz", "3": "dt", "4": "l", "5": "mn", "6": "r"}.items() for c in group}

@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import components, leakage, markup, names, packing, subjects, survivorship, venues
+from citeloom.llm import components, leakage, linkage, markup, names, packing, subjects, survivorship, venues
 from citeloom.runtime import cut, table
 
 
+def p2_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every accepted pair of an entry and a record with its confidence."""
+    return linkage.matches(linkage.scored_pairs(table(spark, sf_dir, "bib_entries"), table(spark, sf_dir, "source_records")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry with the records that describe the work it cites."""
+    return p2_scored(spark, sf_dir).select("entry_id", "record_id")
+
+
 def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(table_name, row_id, venue)`` of both tables."""
     bib = table(spark, sf_dir, "bib_entries").select(F.lit("bib_entries").alias("table_name"), F.col("entry_id").alias("row_id"), "venue")
@@ -108,6 +118,8 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_scored": p2_scored,
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
     "p4_found": p4_found,
