@@ -32,56 +32,61 @@ def canonical_values(records: DataFrame, entry: str = "entry_id") -> DataFrame:
     return per_value.groupBy(entry, "field").agg(F.min_by("value", "o").alias("value"), F.min_by("sources", "o").alias("sources"))
 
 
-def string_check(cited: Column, canonical: Column) -> Column:
-    return (
-        F.when(F.trim(canonical) == "", "unverifiable").when(cited == canonical, "ok").when(text.fold(cited) == text.fold(canonical), "formatting").otherwise("needs_llm")
-    )
+def prepare(df: DataFrame, b: str, c: str) -> DataFrame:
+    """Adds the comparable forms of a cited and a canonical value: folded, as number and as pages."""
+    for s, v in (("b", F.col(b)), ("c", F.col(c))):
+        df = df.withColumn(f"fold_{s}", text.fold(v)).withColumn(f"page_{s}", text.pages(v)).withColumn(f"digits_{s}", text.clean(v))
+    number = lambda s: F.when(F.col(f"digits_{s}").rlike(r"^[0-9]+$"), F.regexp_replace(f"digits_{s}", r"^0+(?=[0-9])", "")).otherwise(F.col(f"fold_{s}"))
+    return df.withColumn("num_b", number("b")).withColumn("num_c", number("c"))
+
+
+def title_check(b: Column, c: Column) -> Column:
+    return F.when(F.trim(c) == "", "unverifiable").when(F.col("fold_b") == F.col("fold_c"), "ok").otherwise("needs_llm")
 
 
-def title_check(cited: Column, canonical: Column) -> Column:
-    return F.when(F.trim(canonical) == "", "unverifiable").when(text.fold(cited) == text.fold(canonical), "ok").otherwise("needs_llm")
+def string_check(b: Column, c: Column) -> Column:
+    return F.when(F.trim(c) == "", "unverifiable").when(b == c, "ok").when(F.col("fold_b") == F.col("fold_c"), "formatting").otherwise("needs_llm")
 
 
-def venue_check(cited: Column, canonical: Column) -> Column:
-    return F.when(text.is_repository(canonical), "unverifiable").otherwise(string_check(cited, canonical))
+def venue_check(b: Column, c: Column) -> Column:
+    return F.when(text.is_repository(c), "unverifiable").otherwise(string_check(b, c))
 
 
-def year_check(cited: Column, canonical: Column, submitted: Column, is_book: Column) -> Column:
+def year_check(b: Column, c: Column, submitted: Column, is_book: Column) -> Column:
     """ok if equal or the cited year is that of the preprint's submission; one year off is uncertain."""
-    d = F.abs(cited - canonical)
+    d = F.abs(b - c)
     return (
-        F.when(canonical.isNull() | cited.isNull(), "unverifiable")
+        F.when(c.isNull() | b.isNull(), "unverifiable")
         .when(d == 0, "ok")
-        .when((canonical > cited) & (cited == submitted), "ok")
+        .when((c > b) & (b == submitted), "ok")
         .when(is_book | (d == 1), "uncertain")
         .otherwise("error")
     )
 
 
-def number_check(cited: Column, canonical: Column) -> Column:
-    """null where the field is absent; a placeholder is an error of its own."""
+def number_check(b: Column, c: Column) -> Column:
+    """A placeholder is an error of its own."""
     return (
-        F.when(cited.isNull(), None)
-        .when(text.is_placeholder(cited), "error")
-        .when(F.trim(canonical) == "", "unverifiable")
-        .when(text.number(text.clean(cited)) != text.number(canonical), "error")
+        F.when(F.lower("digits_b").isin(text.PLACEHOLDERS), "error")
+        .when(F.trim(c) == "", "unverifiable")
+        .when(F.col("num_b") != F.col("num_c"), "error")
         .otherwise("ok")
     )
 
 
-def pages_check(cited: Column, canonical: Column) -> Column:
+def pages_check(b: Column, c: Column) -> Column:
     return (
-        F.when(F.trim(canonical) == "", "unverifiable")
-        .when(text.pages(cited) != text.pages(canonical), "error")
-        .when(text.pages(cited).contains("-") & ~text.clean_range(cited), "formatting")
+        F.when(F.trim(c) == "", "unverifiable")
+        .when(F.col("page_b") != F.col("page_c"), "error")
+        .when(F.col("page_b").contains("-") & ~text.clean_range(b), "formatting")
         .otherwise("ok")
     )
 
 
-def publisher_check(cited: Column, canonical: Column, is_book: Column) -> Column:
-    plain = string_check(cited, canonical)
-    x, y = text.fold(cited), text.fold(canonical)
-    return F.when(is_book & (plain == "needs_llm") & (x.contains(y) | y.contains(x)), "formatting").otherwise(plain)
+def publisher_check(b: Column, c: Column, is_book: Column) -> Column:
+    plain = string_check(b, c)
+    within = F.col("fold_b").contains(F.col("fold_c")) | F.col("fold_c").contains(F.col("fold_b"))
+    return F.when(is_book & (plain == "needs_llm") & within, "formatting").otherwise(plain)
 
 
 def field_findings(entries: DataFrame, canonical: DataFrame, skip_book_fields: bool = False) -> DataFrame:
@@ -104,19 +109,16 @@ def field_findings(entries: DataFrame, canonical: DataFrame, skip_book_fields: b
     if skip_book_fields:
         rows = rows.filter(~(F.col("is_book") & F.col("field").isin("year", "publisher")))
     both = rows.join(canonical.select("entry_id", "field", F.col("value").alias("canonical_value"), "sources"), ["entry_id", "field"], "left")
-    b, c = F.col("bib_value"), blank(F.col("canonical_value"))
-    status = F.lit(None).cast("string")
-    for field, check in {
-        "publisher": publisher_check(b, c, F.col("is_book")),
-        "pages": pages_check(b, c),
-        "number": number_check(b, c),
-        "volume": number_check(b, c),
-        "year": year_check(text.year(b), text.year(c), F.col("submitted"), F.col("is_book")),
-        "venue": venue_check(b, c),
-        "title": title_check(b, c),
-    }.items():
-        status = F.when(F.col("field") == field, check).otherwise(status)
-    return both.select("entry_id", "pos", "field", "bib_value", "canonical_value", "sources", status.alias("status")).filter("status is not null")
+    both = prepare(both.withColumn("_c", blank(F.col("canonical_value"))), "bib_value", "_c")
+    b, c = F.col("bib_value"), F.col("_c")
+    same_field = lambda f, check: F.when(F.col("field") == f, check)
+    status = F.coalesce(
+        same_field("title", title_check(b, c)), same_field("venue", venue_check(b, c)), same_field("volume", number_check(b, c)), same_field("number", number_check(b, c)),
+        same_field("year", year_check(F.col("year_b"), F.col("year_c"), F.col("submitted"), F.col("is_book"))), same_field("pages", pages_check(b, c)),
+        same_field("publisher", publisher_check(b, c, F.col("is_book"))),
+    )
+    both = both.withColumn("year_b", text.year(b)).withColumn("year_c", text.year(c))
+    return both.select("entry_id", "pos", "field", "bib_value", "canonical_value", "sources", status.alias("status"))
 
 
 def apply_judgments(findings: DataFrame, judgments: DataFrame | None = None) -> DataFrame:

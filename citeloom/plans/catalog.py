@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from citeloom.plans import pipelines, reference
 
-from citeloom.plans import pipelines
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.p1_found(spark, sf_dir)
-
-
-QUERIES = {**pipelines.QUERIES}
-SQL = {**pipelines.SQL}
+flagship = reference.flagship
+QUERIES = {**reference.QUERIES, **pipelines.QUERIES}
+SQL = {**reference.SQL, **pipelines.SQL}

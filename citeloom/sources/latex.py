@@ -60,7 +60,7 @@ def cited_keys(files: DataFrame) -> DataFrame:
     """``(tex_file, key)`` of all cite and nocite commands of ``files(tex_file, text)``; ``*`` cites all."""
     body = strip_verbatim(strip_comments(F.col("text")))
     lists = F.regexp_extract_all(body, F.lit(CITE), F.lit(2))
-    keys = F.explode(F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, ","))), F.trim))
+    keys = F.explode(F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, ","))), lambda k: F.trim(k)))
     return files.select("tex_file", keys.alias("key")).filter("key <> ''").distinct()
 
 
@@ -77,7 +77,8 @@ def contexts_of(tex: str) -> list[tuple[str, str, str, int]]:
     A sentence that is next to nothing once cleaned takes the one before it along.
     """
     body = plain_strip(tex)
-    cuts = [0] + [m.end() for m in _END.finditer(body)] + [len(body)]
+    masked = _CITE.sub(lambda m: "x" * len(m[0]), body)  # page references inside a command end no sentence
+    cuts = [0] + [m.end() for m in _END.finditer(masked)] + [len(body)]
     out = []
     at = 0
     for m in _CITE.finditer(body):
