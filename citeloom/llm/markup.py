@@ -250,7 +250,11 @@ def _compose(rng: np.random.Generator, vocabulary: list[str]) -> tuple[str, list
     whole = rng.random() < 0.15
     if whole:
         add("<p>", MARKUP)
+    bare = rng.random() < 0.1  # nothing but constructs
     for _ in range(n):
+        if bare:
+            construct()
+            continue
         add(words(0, 8), TEXT)
         r = rng.random()
         if r < 0.5:
@@ -259,7 +263,8 @@ def _compose(rng: np.random.Generator, vocabulary: list[str]) -> tuple[str, list
             add(pick([" ", " ", ""]), TEXT)
         elif r < 0.9:
             add(pick(_SIGNS), SIGN)
-    add(words(0, 6), TEXT)
+    if not bare:
+        add(words(0, 6), TEXT)
     if whole:
         add("</p>", MARKUP)
     return "".join(text), labels
@@ -417,8 +422,9 @@ def convert(rows: DataFrame, column: str = "text", with_clean: bool = True) -> D
         return pd.DataFrame({"has_markup": found, "clean": out if with_clean else None})
 
     apply_udf = F.pandas_udf(apply, "has_markup boolean, clean string")
-    got = rows.withColumn("_m", apply_udf(column)).select("*", "_m.has_markup", "_m.clean").drop("_m")
-    return got if with_clean else got.drop("clean")
+    kept = [c for c in rows.columns if c not in ("_m", "has_markup", "clean")]  # results replace columns of these names
+    got = rows.select(*kept).withColumn("_m", apply_udf(column))
+    return got.select(*kept, "_m.has_markup", *(["_m.clean"] if with_clean else []))
 
 
 def texts(bib: DataFrame, records: DataFrame) -> DataFrame:

@@ -34,6 +34,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Pieces of one length that are ranked together, sweeps of the fit, and partner lengths tried per pattern.
 BLOCK = 200_000
 SWEEPS = 150
+#: Fits one after the other on what is left: least share of the longest piece, share of space left open.
+FITS = ((0.5, 0.0), (0.5, 0.0), (0.5, 0.005), (0.25, 0.0), (0.25, 0.005), (0.0, 0.0), (0.0, 0.0))
 PARTNERS = 6
 
 _encoders: dict[str, object] = {}
@@ -83,16 +85,18 @@ def patterns(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, int], .
 
 
 def fit(found: list[tuple[tuple[int, int], ...]], counts: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
-    """Repeat count of each pattern: multiplicative updates of the non-negative least squares problem."""
+    """Repeat count of each pattern: multiplicative updates of the non-negative least squares problem, in
+    which lengths weigh by their size (long pieces are hard to place later)."""
     col = np.array([i for i, p in enumerate(found) for _ in p])
     row = np.array([n for p in found for n, _ in p])
     a = np.array([t for p in found for _, t in p], dtype=float)
     b = counts.astype(float)
+    w = np.arange(len(b), dtype=float) ** 2
     x = np.ones(len(found))
-    target = np.bincount(col, a * b[row], len(found))
+    target = np.bincount(col, a * (w * b)[row], len(found))
     for _ in range(sweeps):
         ax = np.bincount(row, a * x[col], len(b))
-        x *= target / np.maximum(np.bincount(col, a * ax[row], len(found)), 1e-12)
+        x *= target / np.maximum(np.bincount(col, a * (w * ax)[row], len(found)), 1e-12)
     return x
 
 
@@ -100,8 +104,11 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, int],
     """``(pattern, repeats)`` that use up every piece of the histogram exactly."""
     left = counts.astype(np.int64).copy()
     out: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    found = patterns(left, capacity)
-    if found:
+    for least, slack in FITS:
+        # first patterns led by a long piece, which find partners hardest, filled exactly; then nearly
+        found = [p for s in range(int(slack * capacity) + 1) for p in patterns(left, capacity - s) if p[-1][0] > least * capacity]
+        if not found:
+            continue
         x = np.floor(fit(found, left) + 1e-9).astype(np.int64)
         for i in np.argsort(-x, kind="stable"):
             times = min(int(x[i]), *(int(left[n]) // t for n, t in found[i]))

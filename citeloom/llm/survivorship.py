@@ -31,7 +31,7 @@ PLACEHOLDERS = [
 #: Names of preprint servers and repositories, which are no venue.
 REPOSITORY = r"(?i)preprint|\brepository\b|\barxiv\b|\bbiorxiv\b|\bmedrxiv\b|\bssrn\b|\bzenodo\b|\beprints?\b"
 #: A cut-off value keeps at least this many characters.
-MIN_PREFIX = 4
+MIN_PREFIX = 2
 
 
 def is_placeholder(text: Column) -> Column:

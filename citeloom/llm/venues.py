@@ -188,8 +188,8 @@ def _map_sharded(rows: DataFrame, ref: DataFrame, column: str) -> DataFrame:
         found = index.find(list(block["value"]))
         return pd.DataFrame({"value": block["value"], "d": [d for d, _ in found], "venue_id": [v for _, v in found]})
 
-    left = values.select("value", (F.abs(F.xxhash64("value")) % blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
-    right = ref.select("*", (F.abs(F.xxhash64("venue_id")) % shards).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("b"))
+    left = values.select("value", F.pmod(F.xxhash64("value"), F.lit(blocks).cast("bigint")).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
+    right = ref.select("*", F.pmod(F.xxhash64("venue_id"), F.lit(shards)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("b"))
     won = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(search, "value string, d int, venue_id int")
     best = won.groupBy("value").agg(F.min(F.when(F.col("venue_id") >= 0, F.struct("d", "venue_id"))).alias("m"))
     best = best.select(F.col("value").alias("_value"), F.coalesce("m.venue_id", F.lit(-1)).alias("venue_id"))

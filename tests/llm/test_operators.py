@@ -1,0 +1,335 @@
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("citeloom.llm")
+
+from citeloom.llm import components, editdistance, leakage, linkage, lstm, markup, names, packing, subjects, survivorship, venues  # noqa: E402
+
+
+# ---- components ---------------------------------------------------------------------------------
+
+
+def union_find(edges):
+    up = {}
+
+    def root(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    return {x: root(x) for x in up}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_random(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)]
+    edges += [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(80)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges + edges[:20] + [(7, 7), (5, None)], "src long, dst long").withColumn("u", F.lit("clash"))
+    got = {r.node: r.component for r in components.connected_components(df).collect()}
+    assert got == union_find([e for e in edges if e[0] != e[1]])
+
+
+def test_components_hot_hub(spark, monkeypatch):
+    from citeloom import runtime
+
+    monkeypatch.setattr(runtime, "HOT_ROWS", 10)
+    edges = [(0, i) for i in range(1, 400)] + [(400 + i, 401 + i) for i in range(10)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == union_find(edges)
+
+
+def test_components_empty(spark):
+    assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_identifier_key(spark):
+    rows = ["https://doi.example/10.9999/S.1", "10.9999/s.1", "DOI: 10.9999/S.1.", "https://press.example/doi/full/10.9999/s.1", "10.55555/arXiv.0818.00011v2", "0818.00011", "https://arxiv.example/pdf/0818.00011v1",
+            "https://api.openalex.example/works/w12", "W12", "mirror copy", "", None, "https://arxiv.example/list/recent"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string")
+    got = [r.k for r in df.orderBy("i").select(components.identifier_key(F.col("x")).alias("k")).collect()]
+    assert set(got[:4]) == {"doi:10.9999/s.1"} and set(got[4:7]) == {"arxiv:0818.00011"} and set(got[7:9]) == {"work:w12"}
+    assert got[10] is None and got[11] is None and got[9] == "mirror copy"
+
+
+def test_record_groups_third_identifier_is_no_link(spark):
+    rows = [(1, "a", None, ["zzz"]), (2, "b", None, ["zzz"]), (3, "c", "W1", []), (4, "d", None, ["https://openalex.example/W1"]), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "record_id long, source_native_id string, openalex_work_id string, version_links array<string>")
+    assert {(r.record_id, r.group_id) for r in components.record_groups(df).collect()} == {(3, 3), (4, 3)}
+
+
+# ---- survivorship -------------------------------------------------------------------------------
+
+REC = "record_id long, source string, merged_from array<string>, fetched_at timestamp, venue string, pages string, publisher string"
+
+
+def test_survivors(spark):
+    t = lambda d: F.to_timestamp(F.lit(d))
+    rows = [
+        (1, "crossref", [], "Journal of X", "-", "Press"), (2, "publisher", [], "n/a", "5", "Pr"), (3, "openalex", [], "Journal of", "5--9", "Press"),
+        (4, None, None, "Journal of X", None, ""), (5, "crossref", [], "??", "n/a", "TBD"), (6, "openalex", [], "-", "n/a", "TBD"), (7, "crossref", [], "Journal of X", "1-2", "Press"),
+    ]
+    df = spark.createDataFrame(rows, "record_id long, source string, merged_from array<string>, venue string, pages string, publisher string").withColumn("fetched_at", t("2020-01-01")).withColumn("value", F.lit("clash"))
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5)], "record_id long, group_id long")
+    got = {(r.group_id, r.field): (r.record_id, r.value) for r in survivorship.survivors(df.union(df), groups).collect()}
+    assert got == {(1, "venue"): (1, "Journal of X"), (1, "pages"): (3, "5--9"), (1, "publisher"): (1, "Press")}
+
+
+def test_latest_of_equal_sources_survives(spark):
+    rows = [(1, "crossref", [], "A Journal"), (2, "crossref", [], "B Journal")]
+    df = spark.createDataFrame(rows, "record_id long, source string, merged_from array<string>, venue string")
+    df = df.withColumn("fetched_at", F.to_timestamp(F.concat(F.lit("2020-01-0"), F.col("record_id")))).withColumn("pages", F.lit(None).cast("string")).withColumn("publisher", F.lit(""))
+    groups = spark.createDataFrame([(1, 1), (2, 1)], "record_id long, group_id long")
+    assert [(r.field, r.record_id) for r in survivorship.survivors(df, groups).collect()] == [("venue", 2)]
+
+
+# ---- edit distance and venues -------------------------------------------------------------------
+
+
+def brute_edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edit_distance_and_tree_against_brute_force():
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abc é") for _ in range(rng.randrange(0, n)))
+    entries = list({word(14) for _ in range(120)} | {word(90) for _ in range(20)} | {"x" * 64, "x" * 65})
+    queries = [word(14) for _ in range(40)] + [word(90) for _ in range(10)] + ["", "x" * 66]
+    tree = editdistance.BKTree(entries)
+    for q in queries[:15]:
+        for e in entries[:40]:
+            assert editdistance.distance(q, e) == brute_edit(q, e)
+    within = np.array([rng.randrange(0, 5) for _ in queries])
+    got = {(i, e, d) for i, e, d in tree.search(queries, within)}
+    want = {(i, e, brute_edit(q, e)) for i, q in enumerate(queries) for e in entries if brute_edit(q, e) <= within[i]}
+    assert got == want
+
+
+REF = [(1, "Journal of Tidal Physics", "J. Tidal Phys.", "journal"), (2, "Journal of Applied Tidal Physics", None, "journal"), (3, "European Symposium on Cell Biology", "ESCBI", "conference"), (4, "Contract Law Letters", "Contract Law Lett.", "journal")]
+
+
+@pytest.mark.parametrize("bound", [50_000, 2])
+def test_venues(spark, bound, monkeypatch):
+    monkeypatch.setattr(venues, "SHARD", 2)
+    ref = spark.createDataFrame(REF, "venue_id int, name string, abbrev string, kind string")
+    cases = {
+        "JOURNAL OF TIDAL PHYSICS": 1, "J. Tidal Phys.": 1, "Journal of Tidal Phy": 1, "Journal of Tdial Physics.": 1, "The Journal of Applied Tidal Physics, vol. 12": 2, "ESCBI'21": 3,
+        "In: Proceedings of 9th European Symposium on Cell Biology": 3, "Annals of Tidal Physics": -1, "in press": -1, "Tidal Physics Letters": -1, "Contract Law Let": 4, "x" * 5000: -1,
+    }
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(cases)] + [("", 98), (None, 99)], "venue string, venue_id int")
+    got = {r.venue: r.venue_id for r in venues.map_values(rows.drop("venue_id"), ref, max_broadcast=bound).collect()}
+    assert got == cases
+
+
+# ---- names --------------------------------------------------------------------------------------
+
+
+def test_name_parts():
+    assert names.parse("Veleklastr{\\\"o}m, Noor", set()) == ("p", "veleklastrom", ["noor"])
+    assert names.parse("NL Zanighiock", set()) == ("p", "zanighiock", ["n", "l"])
+    assert names.parse("Nabinhiock Edward", {"edward"}) == ("p", "nabinhiock", ["edward"])
+    assert names.parse("S{\\o}ren de Lange 0003", set()) == ("p", "lange", ["soren"])
+    assert names.parse("and others", set())[0] == "" and names.parse("", set())[0] == "" and names.parse("123", set())[0] == ""
+    assert names.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-3)
+    assert names.osa("abcd", "acbd") == 1 and names.osa("", "abc") == 3
+
+
+def test_name_clusters(spark):
+    people = [
+        ["Margaret R. Orlazrawen", "Orlazrawen, Margaret", "Maggie Orlazrawen", "ORLAZRAWEN, MARGARET", "Margaret Orlarawen", "Orlazrawen, M. R."],
+        ["Tomás Orlazrawen", "Tomas Orlazrawen", "Orlazrawen, Tom\\'{a}s", "Orlazrawen T"],
+        ["Institute of Rural Health, Kelvora", "The Kelvora Institute of Rural Health", "{Kelvora Institute of Rural Health}", "Kelvora Inst. of Rural."],
+    ]
+    extra = ["others", "", None, "Brundal Institute of Rural Health"]
+    df = spark.createDataFrame([(n, "x") for p in people for n in p] + [(n, "x") for n in extra if n], "name string, cluster string")
+    got = {frozenset((r.name_a, r.name_b)) for r in names.variant_pairs(names.clusters(df.select("name").distinct())).collect()}
+    want = {frozenset((a, b)) for p in people for a in p for b in p if a != b}
+    assert got == want
+
+
+def test_ambiguous_initials_join_nobody(spark):
+    df = spark.createDataFrame([(n,) for n in ["Michael Quaethoring", "Mirela Quaethoring", "M. Quaethoring", "Quaethoring, Michael"]], "name string")
+    assert {(r.name_a, r.name_b) for r in names.variant_pairs(names.clusters(df)).collect()} == {("Michael Quaethoring", "Quaethoring, Michael")}
+
+
+# ---- linkage ------------------------------------------------------------------------------------
+
+
+def test_title_parts():
+    assert linkage.title_parts("Comment on <i>A</i> Study of Cats, Part II")[0] == "commentpart2"
+    assert linkage.title_parts("Erratum to: X and Y")[0] == "erratum"
+    assert linkage.title_parts("The {Nature} of $x^2$ things: a view") == ("", ["the", "nature", "of", "things"], ["a", "view"])
+    assert linkage.title_parts("") == ("", [], [])
+
+
+def test_label_model_learns_accuracies():
+    rng = np.random.default_rng(0)
+    truth = rng.random(6000) < 0.4
+    m = len(linkage.VOTERS)
+    good = rng.random((6000, m)) < np.array([0.95, 0.9, 0.85, 0.97, 0.95, 0.9, 0.8, 0.85, 0.7, 0.7, 0.6, 0.55])
+    votes = np.where(good == truth[:, None], 2, 0)
+    votes[rng.random((6000, m)) < 0.2] = 1
+    patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    q = linkage.label_model(patterns, counts)
+    assert ((q[where.ravel()] > 0.5) == truth).mean() > 0.97
+    assert len(linkage.label_model(np.zeros((0, m), dtype=int), np.zeros(0))) == 0
+
+
+# ---- markup -------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def model():
+    return markup.labeller()
+
+
+def test_labeller_held_out_accuracy(model):
+    rng = np.random.default_rng(99)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(300)]
+    right = total = 0
+    for _ in range(400):
+        text, labels = markup._compose(rng, vocabulary)
+        parts = markup.leaves(text)
+        got = model.label([markup.features(parts)])[0]
+        at = 0
+        for (kind, s), y in zip(parts, got, strict=True):
+            mine = labels[at : at + len(s)]
+            at += len(s)
+            if kind not in ("text", "break", "sign"):
+                total += 1
+                right += (y in (0, 6)) == (max(set(mine), key=mine.count) in (0, 6))
+    assert total > 300 and right / total > 0.97
+
+
+def test_markup_found_and_cleaned(spark, model):
+    cases = {
+        "plain text (p < 0.05, n > 30) in C++ and C# at US$40 million": False, "x^2 + y^2 = 1 with snake_case_name and A* search -- on [0, 1]": False, "R&D policy under <5 cases": False,
+        "the <i>long</i> view": True, "R\\&D policy": True, "the {B}oson": True, "a **bold** claim": True, "see [[Topic|the tree]]": True, "an &amp; b": True, "caf\\'e": True, "$O(n^2)$ time": True,
+        "== Scope ==\nText": True, "text\n- one\n- two": True, "[a](https://x.example/p)": True, "{{cite book|last=A|year=1}}": True, "": False,
+    }
+    df = spark.createDataFrame([(k, "c") for k in cases] + [(None, "c"), ("<p>" + "word " * 60_000 + "</p>", "c")], "text string, clean string")
+    got = {r.text: r for r in markup.convert(df).collect()}
+    assert {k: got[k].has_markup for k in cases} == cases
+    assert got[None].clean is None and not got[None].has_markup
+    assert got["the <i>long</i> view"].clean == "the long view" and got["R\\&D policy"].clean == "R&D policy" and got["caf\\'e"].clean == "café"
+    assert got["== Scope ==\nText"].clean.startswith("# Scope") and got["$O(n^2)$ time"].clean == "$O(n^2)$ time" and got["text\n- one\n- two"].clean == "text\n- one\n- two"
+    assert max(len(r.clean or "") for r in got.values()) > 290_000
+
+
+def test_leaves_lose_nothing():
+    rng = random.Random(5)
+    for _ in range(200):
+        t = "".join(rng.choice(["a ", "<b>", "</b>", "{", "}", "\\emph{", "$x$", "*", "**", "\n", "- ", "[[", "]]", "&lt;", "`", "''", "# "]) for _ in range(30))
+        assert "".join(s for _, s in markup.leaves(t)) == t
+
+
+def test_lstm_gradient():
+    rng = np.random.default_rng(1)
+    net = lstm.BiLSTM(3, 4, 3, seed=2)
+    x, mask = lstm.pad([rng.normal(size=(5, 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32)])
+    y = rng.integers(0, 3, x.shape[:2])
+    acc = net.train(((x, mask, y) for _ in range(300)), rate=0.05)
+    assert acc == 1.0
+
+
+# ---- packing ------------------------------------------------------------------------------------
+
+
+def test_packing(spark):
+    rng = random.Random(2)
+    sizes = [(i, min(900, int(rng.lognormvariate(3, 1)) + 1)) for i in range(3000)] + [(9001, 0), (9002, 1000), (9003, 2500), (9004, 100), (9005, 101)] + [(10_000 + i, 50) for i in range(1500)]
+    df = spark.createDataFrame(sizes, "doc_id long, n_tokens long").withColumn("container_id", F.lit("clash"))
+    rows = packing.pack(df, 100).collect()
+    used, pieces = Counter(), defaultdict(list)
+    for r in rows:
+        used[r.container_id] += r.n_tokens
+        pieces[r.doc_id].append((r.piece, r.offset, r.n_tokens))
+    assert max(used.values()) <= 100 and sorted(used) == list(range(len(used)))
+    want = dict(sizes)
+    assert {d: sum(n for *_, n in p) for d, p in pieces.items()} == {d: n for d, n in want.items() if n}
+    assert all(len(p) == 1 for d, p in pieces.items() if want[d] <= 100)
+    assert sum(used.values()) / (100 * len(used)) > 0.98
+
+
+def test_packing_empty_and_tokenizer(spark):
+    assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long"), 100).count() == 0
+    docs = spark.createDataFrame([(1, "Hello world, hello <|endoftext|>"), (2, None), (3, ""), (None, "x")], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in packing.token_counts(docs).collect()}
+    assert set(got) == {1, 2, 3} and got[2] == got[3] == 0 and got[1] > 8
+
+
+# ---- leakage ------------------------------------------------------------------------------------
+
+
+def make_items():
+    rng = random.Random(11)
+    nouns = ["lattice", "market", "enzyme", "treaty", "clause", "kernel", "harbour", "glacier", "violin", "lantern"]
+    odd = ["".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(400)]
+    pick = lambda k: rng.sample(odd, k)
+    items = []
+    for i in range(30):
+        s = ["The {} {} of {} responds to the {} within {} steps when the {} is {}.".format(a.title(), rng.choice(nouns), b.title(), rng.choice(nouns), rng.randrange(900), rng.choice(nouns), c) for a, b, c in (pick(3) for _ in range(4))]
+        items.append((100 + i, "All remaining errors are our own. " + " ".join(s), s))
+    return items, rng
+
+
+def test_leaks(spark):
+    items, rng = make_items()
+    filler = "The market of labour responds to the enzyme within steps when the glacier is cold. " * 30
+    s = items[0][2]
+    docs = {
+        1: filler + items[0][1] + filler, 2: filler + s[1] + " " + s[2], 3: filler + s[0], 4: "All remaining errors are our own. " + filler,
+        5: (s[0] + " " + s[1]).upper().replace(".", ""), 6: "> " + s[1].replace(" the ", " <b>the</b> ") + "\n> " + s[2].replace("responds", "res-\nponds"), 7: items[3][1] + items[4][1],
+        8: s[0] + filler + s[2], 9: "", 10: s[1].replace("o", "о") + " " + s[2].replace("e", "е"), 11: filler * 60,
+    }
+    d = spark.createDataFrame([(k, v, "c") for k, v in docs.items()] + [(1, docs[1], "c"), (12, None, "c"), (None, docs[1], "c")], "doc_id long, text string, item_id string")
+    t = spark.createDataFrame([(i, "s", x) for i, x, _ in items] + [(900, "s", None), (901, "s", ""), (items[0][0], "s", items[0][1])], "item_id long, suite string, text string")
+    want = {(1, 100), (2, 100), (5, 100), (6, 100), (7, 103), (7, 104), (10, 100)}
+    found = leakage.find_leaks(d, t)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+    assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, t, max_tokens=400).collect()} == want  # in blocks
+    assert {r.doc_id for r in leakage.remove_leaked(d.filter("doc_id is not null"), found).collect()} == {3, 4, 8, 9, 11, 12}
+
+
+def test_suffix_array_against_brute_force():
+    rng = np.random.default_rng(4)
+    text, query = rng.integers(1, 5, 400), rng.integers(1, 5, 60)
+    array = leakage.SuffixArray(text, np.arange(398))
+    q, e, size = array.search(leakage._windows(query, np.arange(58)))
+
+    def common(i, j):
+        n = 0
+        while n < leakage.DEPTH and i + n < len(query) and j + n < len(text) and query[i + n] == text[j + n]:
+            n += 1
+        return n
+
+    got = {(int(a), int(b)): int(n) for a, b, n in zip(q, e, size, strict=True)}
+    assert got == {(i, j): common(i, j) for i in range(58) for j in range(398) if common(i, j) >= 3}
+
+
+# ---- subjects -----------------------------------------------------------------------------------
+
+
+def test_subjects_on_labelled_documents(spark, sf):
+    d = sf.replace("sf0.001", "sf0.01")
+    docs, labels, areas = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "doc_labels", "subject_areas"))
+    held = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
+    got = {(r.doc_id, r.subject_id) for r in subjects.assign(subjects.subject_mixtures(docs, labels.exceptAll(held), areas)).collect()}
+    want = [(r.doc_id, r.subject_id) for r in held.select("doc_id", "subject_id").distinct().collect()]
+    assert sum(w in got for w in want) / len(want) > 0.85
+    assert max(Counter(d for d, _ in got).values()) <= 4
