@@ -30,10 +30,11 @@ from citeloom.runtime import cut
 BUCKETS = 1 << 18
 MAX_LABELS = 50_000
 ROUNDS = 4
-INNER = 8
+#: Updates of W per round of H, and for the final mixtures.
+UPDATE_INNER, INNER = 5, 8
 #: Words in fewer or more documents than these shares carry no subject.
 LOW_DF, HIGH_DF, LEAST_DF = 0.0002, 0.15, 3
-SHARE = 0.22
+SHARE = 0.2
 #: Least informative word mass an assigned area rests on.
 EVIDENCE = 1.0
 
@@ -111,20 +112,24 @@ class Factor:
         ok = self.chosen[at] == flat
         return row[ok], at[ok], n[ok], len(size)
 
-    def solve(self, row, col, n, rows, weight=None):
-        """W by INNER multiplicative updates, and each entry's shares over components."""
+    def solve(self, row, col, n, rows, weight=None, inner=INNER):
+        """W by ``inner`` multiplicative updates, and each entry's shares over components."""
         k = self.h.shape[1]
         w = np.full((rows, k), 1.0 / k, dtype=np.float32)
-        ht = self.h[col] + 1e-9
-        x = n if weight is None else n * weight[col]
-        q = ht
-        if len(row):
-            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            for _ in range(INNER):
-                q = w[row] * ht
-                q *= (x / q.sum(1))[:, None]
-                w[row[starts]] = np.add.reduceat(q, starts, axis=0) + 1e-6
-                w /= w.sum(1, keepdims=True)
+        ht = self.h[col] + np.float32(1e-9)
+        x = (n if weight is None else n * weight[col]).astype(np.float32)
+        if not len(row):
+            return w, ht
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        some, size = row[starts], np.diff(np.r_[starts, len(row)])
+        mine = w[some]
+        for _ in range(inner):
+            r = x / np.einsum("ij,ij->i", np.repeat(mine, size, axis=0), ht)
+            mine = mine * np.add.reduceat(ht * r[:, None], starts, axis=0) + np.float32(1e-6)
+            mine /= mine.sum(1, keepdims=True)
+        w[some] = mine
+        q = np.repeat(mine, size, axis=0) * ht
+        q *= (x / q.sum(1))[:, None]
         return w, q
 
     def weight(self) -> np.ndarray:
@@ -195,7 +200,7 @@ def update(rows: DataFrame, factor: Factor, mask: np.ndarray) -> Factor:
         for pdf in batches:
             row, col, n, size = f.sparse(pdf["terms"], pdf["counts"])
             if len(row):
-                _, q = f.solve(row, col, np.log1p(n), size)
+                _, q = f.solve(row, col, np.log1p(n), size, inner=UPDATE_INNER)
                 for c in range(k):
                     total[:, c] += np.bincount(col, weights=q[:, c], minlength=len(f.chosen))
         used = np.flatnonzero(total.sum(1))
