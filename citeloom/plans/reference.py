@@ -663,5 +663,91 @@ def report_lines(spark, d):
     return resolve.report_lines(audit.report(spark, d))
 
 
+# ---- smaller joins and aggregates ---------------------------------------------------------------
+
+
+@query(
+    f"""WITH {PAIRS}, k AS (SELECT entry_id, record_id, {_ISBN.format('e')} AS a, {_ISBN.format('r')} AS b, e.ids AS x, r.ids AS y FROM p)
+    SELECT entry_id, record_id, coalesce(x.doi = y.doi, false) OR coalesce(x.arxiv_id = y.arxiv_id, false) OR len(list_intersect(a, b)) > 0 AS shared FROM k"""
+)
+def id_shared(spark, d):
+    """Whether an entry and a fetched record share a strong identifier."""
+    return pairs(spark, d).select("entry_id", "record_id", ids.shares_strong_id(F.col("e.ids"), F.col("r.ids")).alias("shared"))
+
+
+_TOKENS = "trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH {E}, {R}, t AS (SELECT e.entry_id, r.record_id, {_TOKENS.format('e.publisher')} AS x, {_TOKENS.format('r.publisher')} AS y FROM e JOIN r ON r.entry_id = e.entry_id)
+    SELECT entry_id, record_id, x <> '' AND y <> '' AND (contains(x, y) OR contains(y, x)) AS compatible FROM t"""
+)
+def text_publishers(spark, d):
+    """Whether the publishers of an entry and a fetched record agree or hold one another."""
+    e = audit.load_entries(spark, d).select("entry_id", F.col("publisher").alias("p"))
+    r = audit.load_records(spark, d).filter("entry_id is not null").select("entry_id", "record_id", F.col("publisher").alias("q"))
+    return e.join(r, "entry_id").select("entry_id", "record_id", text.compatible(F.col("p"), F.col("q")).alias("compatible"))
+
+
+@query(
+    f"""WITH {_CAND}, x AS (SELECT entry_id, ord, ids.doi AS doi FROM k WHERE ids.doi IS NOT NULL AND NOT starts_with(ids.doi, '10.48550/arxiv'))
+    SELECT entry_id, arg_min(doi, ord) AS published_doi FROM x GROUP BY entry_id"""
+)
+def published_dois(spark, d):
+    """First published DOI among the candidates of every entry."""
+    return books.find_published_doi(audit.candidates(spark, d))
+
+
+@query(f"WITH {_CAND} SELECT entry_id, array_to_string(list_sort(list(DISTINCT source)), '+') AS sources FROM k GROUP BY entry_id")
+def consulted_sources(spark, d):
+    """Sources that gave candidates for every entry."""
+    return fields.consulted_sources(audit.candidates(spark, d)).select("entry_id", F.array_join("sources", "+").alias("sources"))
+
+
+_EDITIONS = f"""{_CAND}, b AS (SELECT *, coalesce(ids.isbn13, nullif(source_native_id, ''), concat_ws('|', CAST(year AS VARCHAR), publisher)) AS kk FROM k WHERE source IN ('openlibrary', 'google_books')),
+    ed AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY entry_id, kk ORDER BY ord) = 1)"""
+
+
+@query(f"WITH {_EDITIONS} SELECT entry_id, ord, source_native_id FROM ed")
+def edition_rows(spark, d):
+    """Book records of every entry, each edition once."""
+    return books.dedup_editions(audit.candidates(spark, d).filter(F.col("source").isin("openlibrary", "google_books"))).select("entry_id", "ord", "source_native_id")
+
+
+@query(
+    f"""WITH {_EDITIONS}, {E}, m AS (SELECT e.entry_id, ed.ord, CASE WHEN len(list_intersect({_ISBN.format('e')}, {_ISBN.format('ed')})) > 0 THEN 0
+      WHEN e.year = ed.year AND {_TOKENS.format('e.publisher')} <> '' AND {_TOKENS.format('ed.publisher')} <> '' AND (contains({_TOKENS.format('e.publisher')}, {_TOKENS.format('ed.publisher')})
+        OR contains({_TOKENS.format('ed.publisher')}, {_TOKENS.format('e.publisher')})) THEN 1 WHEN e.year = ed.year THEN 2 END AS priority
+      FROM e JOIN ed ON ed.entry_id = e.entry_id WHERE e.entry_type IN ('book', 'incollection'))
+    SELECT entry_id, arg_min(ord, {{'p': priority, 'o': ord}}) AS ord, min(priority) AS priority FROM m WHERE priority IS NOT NULL GROUP BY entry_id"""
+)
+def edition_cited(spark, d):
+    """The edition every book entry cites: by ISBN, then year and publisher, then year."""
+    editions = books.dedup_editions(audit.candidates(spark, d).filter(F.col("source").isin("openlibrary", "google_books")))
+    return books.match_cited_edition(audit.load_entries(spark, d), editions)
+
+
+@query(f"WITH {R} SELECT record_id, ids.doi AS doi, CASE WHEN NOT starts_with(ids.doi, '10.48550/arxiv') THEN ids.doi END AS published FROM r WHERE ids.doi IS NOT NULL")
+def record_dois(spark, d):
+    """DOIs of records, and those that name a published artifact."""
+    r = audit.load_records(spark, d).filter("ids.doi is not null")
+    return r.select("record_id", F.col("ids.doi").alias("doi"), ids.published_doi(F.col("ids.doi")).alias("published"))
+
+
+@query("SELECT source, query_kind, count(*) AS n, count(*) FILTER (error IS NOT NULL) AS n_errors, max(fetched_at) AS latest FROM source_results GROUP BY ALL")
+def source_health(spark, d):
+    """Queries, failures and last contact per source and kind."""
+    return table(spark, d, "source_results").groupBy("source", "query_kind").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("n_errors"), F.max("fetched_at").alias("latest"))
+
+
+@query()
+def questions(spark, d):
+    """The questions an adjudicator would be asked about candidates, best eight per entry."""
+    from citeloom.operators import adjudicate
+
+    a = audit.assess(audit.load_entries(spark, d), audit.pooled(spark, d))
+    return adjudicate.with_hash(adjudicate.candidate_questions(score.top_candidates(a))).select("entry_id", "ord", "prompt_hash")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return verdict_counts(spark, d)
