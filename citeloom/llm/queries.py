@@ -136,4 +136,42 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_composition": p10_composition,
 }
-SQL: dict[str, str] = {}
+_KEY = """CASE WHEN regexp_extract(t, '(?:^|arxiv[.:]|/(?:abs|pdf)/)\\s*(\\d{4}\\.\\d{4,5}|[a-z-]+(?:\\.[a-z]{2})?/\\d{7})(?:v\\d+)?(?:\\.pdf)?[.,;)\\s]*$', 1) <> ''
+      THEN 'arxiv:' || regexp_extract(t, '(?:^|arxiv[.:]|/(?:abs|pdf)/)\\s*(\\d{4}\\.\\d{4,5}|[a-z-]+(?:\\.[a-z]{2})?/\\d{7})(?:v\\d+)?(?:\\.pdf)?[.,;)\\s]*$', 1)
+    WHEN regexp_extract(t, '(10\\.\\d{4,9}/[-._;()/:a-z0-9]+)', 1) <> '' THEN 'doi:' || regexp_replace(regexp_extract(t, '(10\\.\\d{4,9}/[-._;()/:a-z0-9]+)', 1), '[.,;)]+$', '')
+    WHEN regexp_extract(t, '(?:^|openalex\\.[a-z]+/(?:works/)?)(w\\d+)/?$', 1) <> '' THEN 'work:' || regexp_extract(t, '(?:^|openalex\\.[a-z]+/(?:works/)?)(w\\d+)/?$', 1)
+    WHEN t <> '' THEN t END"""
+
+_GROUPS = f"""x AS (SELECT record_id, lower(trim(source_native_id)) AS t, true AS held FROM source_records UNION SELECT record_id, lower(trim(openalex_work_id)), true FROM source_records
+      UNION SELECT record_id, lower(trim(unnest(version_links))), false FROM source_records),
+    said AS (SELECT DISTINCT record_id, {_KEY} AS key, held FROM x),
+    holder AS (SELECT key, min(record_id) AS holder FROM said WHERE held AND key IS NOT NULL GROUP BY key),
+    e AS (SELECT DISTINCT s.record_id AS a, h.holder AS b FROM said s JOIN holder h ON h.key = s.key WHERE s.record_id <> h.holder),
+    both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    reach AS (SELECT DISTINCT a AS n, a AS m FROM both_ways UNION SELECT reach.n, w.b FROM reach JOIN both_ways w ON w.a = reach.m),
+    g AS (SELECT n AS record_id, min(m) AS group_id FROM reach GROUP BY n)"""
+
+_EMPTY = ", ".join("'" + p + "'" for p in survivorship.PLACEHOLDERS)
+
+
+def _rank(field: str) -> str:
+    order = survivorship.SOURCE_PRIORITY[field]
+    cases = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(order))
+    return f"list_min(list_transform(list_concat([source], coalesce(merged_from, [])), lambda s: CASE s {cases} ELSE {len(order)} END))"
+
+
+SQL: dict[str, str] = {
+    "p4_found": f"WITH RECURSIVE {_GROUPS} SELECT record_id, group_id FROM g",
+    "p5_found": f"""WITH RECURSIVE {_GROUPS},
+    cells AS (SELECT record_id, fetched_at, unnest([{{'field': 'venue', 'value': venue, 'rank': {_rank('venue')}}}, {{'field': 'pages', 'value': pages, 'rank': {_rank('pages')}}},
+      {{'field': 'publisher', 'value': publisher, 'rank': {_rank('publisher')}}}], recursive := true) FROM source_records),
+    often AS (SELECT field, value, count(*) AS n FROM cells WHERE field <> 'pages' AND lower(trim(value)) NOT IN ({_EMPTY}) GROUP BY ALL),
+    cut_off AS (SELECT field, value, EXISTS (SELECT 1 FROM often w WHERE w.field = v.field AND w.n >= v.n AND w.value <> v.value AND starts_with(w.value, v.value) AND length(w.value) > {survivorship.MIN_PREFIX})
+      AND length(value) >= {survivorship.MIN_PREFIX} AS cut FROM often v),
+    vals AS (SELECT group_id, field, value, min(c.record_id) AS record_id, max({{'trust': -rank, 'fetched_at': fetched_at}}) AS best FROM cells c JOIN g ON g.record_id = c.record_id WHERE trim(value) <> '' GROUP BY ALL),
+    graded AS (SELECT vals.*, CASE WHEN lower(trim(vals.value)) IN ({_EMPTY}) THEN -1 WHEN vals.field = 'pages' THEN CASE WHEN regexp_matches(vals.value, '\\w\\s*[-‐–—]+\\s*\\w') THEN 3 ELSE 2 END
+      WHEN vals.field = 'venue' AND regexp_matches(vals.value, '{survivorship.REPOSITORY}') THEN 0 WHEN regexp_matches(vals.value, '\\p{{L}}\\.(\\s|$)') THEN 2 WHEN coalesce(cut, false) THEN 1 ELSE 3 END AS quality
+      FROM vals LEFT JOIN cut_off USING (field, value)),
+    chosen AS (SELECT group_id, field, count(*) AS k, max({{'q': quality, 't': best.trust, 'f': best.fetched_at, 'v': value, 'r': record_id}}) AS b FROM graded GROUP BY ALL)
+    SELECT group_id, field, b.r AS record_id FROM chosen WHERE k > 1 AND b.q >= 0""",
+}
