@@ -29,4 +29,28 @@ def p1_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_variants": p1_variants, "p1_levels": p1_levels}
-SQL: dict[str, str] = {}
+# A string that holds a JSON object or array counts as what it encodes.
+_DECODED = "CASE WHEN json_type({0}) = 'VARCHAR' AND regexp_matches({0} ->> '$', '^\\s*[\\[{{]') AND json_valid({0} ->> '$') THEN json({0} ->> '$') ELSE {0} END"
+
+_WALK = f"""RECURSIVE raws AS (SELECT DISTINCT record_id, source, json(raw) AS v FROM source_records WHERE json_valid(raw) AND regexp_matches(raw, '^\\s*[\\[{{]')),
+    scan AS (SELECT source, v AS val, '' AS above, '' AS name, '' AS p_above, '' AS p_name, '' AS p_type FROM raws
+      UNION ALL SELECT source, x, CASE WHEN arr THEN name ELSE above END, CASE WHEN arr THEN name ELSE key END, above, name, CASE WHEN arr THEN 'ARRAY' ELSE 'OBJECT' END
+      FROM (SELECT s.source, s.above, s.name, c.key, json_type(s.val) = 'ARRAY' AS arr, {_DECODED.format('c.value')} AS x FROM scan s, json_each(s.val) c)
+      WHERE json_type(x) IN ('OBJECT', 'ARRAY')),
+    fields AS (SELECT DISTINCT source, p_above, p_name FROM scan WHERE p_type = 'ARRAY' AND json_type(val) = 'OBJECT'),
+    walk AS (SELECT record_id, source, v AS val, '' AS path, '' AS enclosing, '' AS parent_path, '' AS above, '' AS name, false AS elem FROM raws
+      UNION ALL SELECT record_id, source, x, loc, CASE WHEN el THEN loc ELSE enclosing END, enclosing,
+        CASE WHEN el AND NOT arr THEN key WHEN arr THEN name ELSE above END, CASE WHEN arr THEN name ELSE key END, el
+      FROM (SELECT *, CASE WHEN arr THEN path || '[' || key || ']'
+          ELSE path || CASE WHEN path = '' THEN '' ELSE '.' END || key || CASE WHEN el THEN '[0]' ELSE '' END END AS loc
+        FROM (SELECT y.*, json_type(x) = 'OBJECT' AND (arr OR f.p_name IS NOT NULL) AS el
+          FROM (SELECT s.record_id, s.source, s.path, s.enclosing, s.above, s.name, c.key, json_type(s.val) = 'ARRAY' AS arr, {_DECODED.format('c.value')} AS x
+            FROM walk s, json_each(s.val) c) y
+          LEFT JOIN fields f ON f.source = y.source AND f.p_above = y.above AND f.p_name = y.key AND NOT y.arr
+          WHERE json_type(x) IN ('OBJECT', 'ARRAY')))),
+    elements AS (SELECT DISTINCT record_id, source, name AS field, path, parent_path FROM walk WHERE elem)"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"WITH {_WALK} SELECT DISTINCT record_id, path, parent_path FROM elements",
+    "p1_levels": f"WITH {_WALK} SELECT source, field, count(*) AS n_rows, count(*) FILTER (parent_path <> '') AS n_with_parent FROM elements GROUP BY source, field",
+}
