@@ -6,7 +6,7 @@ same parse form one node.  Nodes are blocked by the phonetic code of the surname
 an organisation), the code with any one sign left out, and the initial, nicknames included; pairs within a
 block are compared by Jaro-Winkler and edit distance on surnames and words, a nickname table and initials.
 Accepted pairs of equally complete nodes are clustered by connected components.  A less complete node
-(no middle initial, initials only) joins a cluster only if it fits exactly one, so that "J. Smith" never
+(no middle initial, a nickname, initials only) joins a cluster only if it fits exactly one, so that "J. Smith" never
 fuses two people.  The result pairs all spellings of a cluster.
 
 Null, blank and placeholder names and markers for omitted authors are no names; repeated names count once;
@@ -218,11 +218,19 @@ def same_word(a: str, b: str) -> bool:
     return min(len(a), len(b)) >= 4 and osa(a, b, 1) <= 1 and jaro_winkler(a, b) >= MIN_JARO_WINKLER - (0.06 if min(len(a), len(b)) < 7 else 0)
 
 
+#: Completeness of a parse: one initial, initials with a middle one, a nickname, a first name, first and middle.
+INITIAL, INITIALS, NICKNAME, FIRST, FULL, ORG = range(6)
+
+
 def level(given: list[str]) -> int:
-    """Completeness of a parse: 3 first and middle name, 2 first name, 1 initials with middle, 0 one initial."""
+    """Completeness of a list of given names; -1 for none."""
     if not given:
         return -1
-    return (2 if len(given[0]) > 1 else 0) + (len(given) > 1)
+    if len(given[0]) == 1:
+        return INITIALS if len(given) > 1 else INITIAL
+    if given[0] in _FULL and given[0] not in NICKNAMES:
+        return NICKNAME
+    return FULL if len(given) > 1 else FIRST
 
 
 def can_be_error(n: int, m: int) -> bool:
@@ -300,7 +308,7 @@ def nodes(names: DataFrame) -> DataFrame:
             for name, known_tokens in zip(pdf["name"], pdf["known"], strict=True):
                 kind, core, g = parse(name, set(known_tokens) if known_tokens is not None else set())
                 if kind and core:
-                    out.append((name, f"{kind}|{core}|{' '.join(g)}", kind, core, g, level(g) if kind == "p" else 4))
+                    out.append((name, f"{kind}|{core}|{' '.join(g)}", kind, core, g, level(g) if kind == "p" else ORG))
             yield pd.DataFrame(out, columns=["name", "node", "kind", "core", "given", "level"])
 
     return rows.mapInPandas(make, "name string, node string, kind string, core string, given array<string>, level int")
@@ -355,10 +363,11 @@ def clusters(names: DataFrame) -> DataFrame:
 
     full = pairs.join(side("a"), pairs["a"] == F.col("node_a")).join(side("b"), pairs["b"] == F.col("node_b")).filter("kind_a = kind_b")
     accepted = cut(
-        full.filter(agree("row_a", "row_b")).select("node_a", "node_b", "level_a", "level_b"),
+        full.filter(agree("row_a", "row_b")).select("node_a", "node_b", "level_a", "level_b", F.expr("get(row_a.given, 0) <=> get(row_b.given, 0)").alias("same_first")),
         "accepted",
     )
-    level_edges = accepted.filter("level_a = level_b")
+    # two nicknames may stand for different names
+    level_edges = accepted.filter((F.col("level_a") == F.col("level_b")) & ((F.col("level_a") != NICKNAME) | F.col("same_first")))
     found = connected_components(level_edges, "node_a", "node_b")
     labels = cut(
         forms.select("node", "level").join(found, "node", "left").select("node", "level", F.coalesce("component", "node").alias("label")), "labels"
@@ -369,7 +378,7 @@ def clusters(names: DataFrame) -> DataFrame:
         F.least("level_a", "level_b").alias("from_level"),
         F.greatest("level_a", "level_b").alias("to_level"),
     )
-    for lower, uppers in ((2, [3]), (1, [3]), (1, [2]), (0, [1, 2, 3])):
+    for lower, uppers in ((FIRST, [FULL]), (NICKNAME, [FIRST, FULL]), (INITIALS, [FULL]), (INITIALS, [NICKNAME, FIRST]), (INITIAL, [INITIALS, NICKNAME, FIRST, FULL])):
         labels = _attach(labels, both.filter((F.col("from_level") == lower) & F.col("to_level").isin(uppers)))
     members = all_names.join(labels.select("node", "label"), "node").select("name", F.col("label").alias("cluster"))
     return members

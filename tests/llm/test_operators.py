@@ -167,6 +167,12 @@ def test_ambiguous_initials_join_nobody(spark):
     assert {(r.name_a, r.name_b) for r in names.variant_pairs(names.clusters(df)).collect()} == {("Michael Quaethoring", "Quaethoring, Michael")}
 
 
+def test_ambiguous_nickname_fuses_nobody(spark):
+    df = spark.createDataFrame([(n,) for n in ["Theodore Quaethoring", "Edward Quaethoring", "Ted Quaethoring", "Ned Quaethoring", "Quaethoring, Edward"]], "name string")
+    got = {(r.name_a, r.name_b) for r in names.variant_pairs(names.clusters(df)).collect()}
+    assert got == {("Edward Quaethoring", "Ned Quaethoring"), ("Edward Quaethoring", "Quaethoring, Edward"), ("Ned Quaethoring", "Quaethoring, Edward")}
+
+
 # ---- linkage ------------------------------------------------------------------------------------
 
 
