@@ -58,8 +58,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             now = labels.unionByName(
                 tree.join(up, "parent", "left").select("node", F.coalesce("component", "parent").alias("component"))
             )
+        done = labels
         labels = cut(now, "cc-labels")
-    if labels is None:
+        drop(tree, done)
+    if labels is not None:
+        drop(first)
+    else:
         return first.select(F.col("u").alias("node"), F.col("u").alias("component")).filter(F.lit(False))
     roots = labels.select(F.col("component").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return labels.unionByName(roots)
