@@ -56,20 +56,54 @@ def errors(spark: SparkSession, sf_dir: str, entry_rows: DataFrame) -> DataFrame
     return entry_rows.select("entry_id", F.col("content_hash").alias("entry_hash")).join(failed, "entry_hash").select("entry_id", "errored")
 
 
-def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(entry_id, kind, confidence, n_artifacts)`` of every entry."""
+def stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """``entries``, ``assessed`` candidates, ``errors`` and the ``generic`` verdict of every entry."""
     entry_rows = cut(load_entries(spark, sf_dir), "entries")
     assessed = cut(assess(entry_rows, pooled(spark, sf_dir)), "assessed")
     accepted = assessed.filter("bucket = 'auto_accept'").select("entry_id", "ord", "r")
     arts = score.artifacts(accepted, score.cluster_accepted(accepted))
-    return score.verdicts(entry_rows, assessed, arts, errors(spark, sf_dir, entry_rows))
+    failed = errors(spark, sf_dir, entry_rows)
+    return {"entries": entry_rows, "assessed": assessed, "errors": failed, "generic": score.verdicts(entry_rows, assessed, arts, failed)}
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(entry_id, kind, confidence, n_artifacts)`` of every entry from its candidates alone."""
+    return stages(spark, sf_dir)["generic"]
+
+
+def book_editions(spark: SparkSession, sf_dir: str, entry_rows: DataFrame, failed: DataFrame) -> DataFrame:
+    """Editions known of every book, the cited one and the latest."""
+    records = candidates(spark, sf_dir)
+    editions = books.dedup_editions(records.filter(F.col("source").isin("openlibrary", "google_books")))
+    return books.resolve_books(entry_rows, editions, books.backfilled_isbn(entry_rows, records), failed)
+
+
+def override_all(s: dict[str, DataFrame], editions: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """``(entry_id, kind)`` after web evidence ``pages(entry_id, web)``, pinned ids and book editions."""
+    e, i = s["entries"], F.col("ids")
+    rows = e.select("entry_id", F.coalesce(entries.is_web_only(F.col("entry_type"), i), F.lit(False)).alias("web_only"))
+    rows = rows.join(s["generic"].select("entry_id", F.col("kind").alias("generic")), "entry_id", "left")
+    for field, name in (("openalex", "work_pin"), ("google_books", "volume_pin")):
+        rows = rows.join(resolve.pinned(e, s["assessed"], field).withColumnRenamed("accepted", name), "entry_id", "left")
+    rows = rows.join(editions.select("entry_id", F.col("matched_ord").isNotNull().alias("edition_matched"), F.col("errored").alias("edition_errored")), "entry_id", "left")
+    rows = rows.join(pages, "entry_id", "left") if pages is not None else rows.withColumn("web", F.lit(None).cast("string"))
+    return resolve.override(rows)
+
+
+def final_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(entry_id, kind)`` of every entry with all evidence at hand."""
+    s = stages(spark, sf_dir)
+    return override_all(s, book_editions(spark, sf_dir, s["entries"], s["errors"]))
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per entry: verdict, numbers of issues and formatting nits, report category."""
-    entry_rows = cut(load_entries(spark, sf_dir), "entries")
-    v = verdicts(spark, sf_dir)
-    n_issues = entries.issues(entry_rows).groupBy("entry_id").agg(F.count("*").alias("n_issues"))
+    st = stages(spark, sf_dir)
+    entry_rows = st["entries"]
+    editions = cut(book_editions(spark, sf_dir, entry_rows, st["errors"]), "editions")
+    v = override_all(st, editions)
+    found = entries.issues(entry_rows).select("entry_id", "issue").union(books.book_report(editions))
+    n_issues = found.groupBy("entry_id").agg(F.count("*").alias("n_issues"))
     findings = fields.apply_judgments(fields.field_findings(entry_rows, fields.canonical_values(candidates(spark, sf_dir))))
     nits = findings.groupBy("entry_id").agg(F.count_if(F.col("status") == "formatting").alias("n_formatting"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -15,7 +15,7 @@ from citeloom.functions import text
 from citeloom.operators import books, entries, fields, pool, resolve, score
 from citeloom.plans import audit
 from citeloom.runtime import cut, table
-from citeloom.sources import connectors, latex, payloads
+from citeloom.sources import bibtex, connectors, html, latex, payloads
 
 HOST = "openalex.example"  # the host the test tables use
 
@@ -516,6 +516,56 @@ def context_keys(spark, d):
     return latex.cited_keys(table(spark, d, "contexts").select(F.col("bib_file").alias("tex_file"), "text"))
 
 
+@query(
+    f"""WITH {E} SELECT bib_file, key, entry_type AS raw_type, is_commented, CAST(cardinality(raw_fields) AS INT) AS n_fields, trim(raw_fields['year']) AS year FROM e WHERE NOT is_commented"""
+)
+def bib_parsed(spark, d):
+    """Entries written out as BibTeX and read again, with their number of fields."""
+    e = audit.load_entries(spark, d).filter("not is_commented")
+    balanced = F.length(F.regexp_replace("v", "[^{]", "")) == F.length(F.regexp_replace("v", "[^}]", ""))
+    cell = e.select("entry_id", F.explode("raw_fields").alias("k", "v")).withColumn("v", F.when(balanced, F.col("v")).otherwise(F.translate("v", "{}", "")))
+    cell = cell.withColumn("v", F.regexp_replace("v", r"\\+$", ""))
+    body = cell.groupBy("entry_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("k", F.lit(" = {"), "v", F.lit("}")))), ",\n  ").alias("b"))
+    # one file per entry, as keys repeat between files
+    text_of = F.concat(F.lit("@"), "entry_type", F.lit("{"), "key", F.lit(",\n  "), "b", F.lit("\n}\n"))
+    files = e.join(body, "entry_id").select(F.concat_ws("|", "bib_file", "entry_id").alias("bib_file"), text_of.alias("text"))
+    got = bibtex.parse_texts(files)
+    return got.select(F.split_part("bib_file", F.lit("|"), F.lit(1)).alias("bib_file"), "key", "raw_type", "is_commented", F.size("fields").alias("n_fields"), F.trim(F.element_at("fields", "year")).alias("year"))
+
+
+@query(
+    f"""WITH {R} SELECT record_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, year, len(list_distinct(authors)) AS n_authors FROM r"""
+)
+def web_metadata(spark, d):
+    """Records written out as pages that declare their metadata and read again."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    meta = lambda k, v: F.concat(F.lit(f'<meta name="{k}" content="'), safe(v), F.lit('">'))
+    r = audit.load_records(spark, d)
+    head = F.concat(
+        F.lit("<html><head><title>x</title>"), meta("citation_title", text.collapse(F.col("title"))), F.array_join(F.transform("authors", lambda a: meta("citation_author", a)), ""),
+        F.coalesce(meta("citation_date", F.col("year").cast("string")), F.lit("")), F.lit("</head><body>text</body></html>"),
+    )
+    pages = r.select(F.col("record_id").cast("string").alias("url"), F.lit(200).alias("status"), head.alias("html"))
+    return html.metadata(pages).select(F.col("url").cast("bigint").alias("record_id"), "title", "year", F.size("authors").cast("bigint").alias("n_authors"))
+
+
+@query()
+def tex_contexts(spark, d):
+    """Manuscripts put together from their citing sentences and read again: occurrences per key."""
+    c = table(spark, d, "contexts").select("bib_file", "key", "ordinal", "text").distinct()
+    docs = c.groupBy("bib_file").agg(F.array_join(F.array_sort(F.collect_list(F.struct("ordinal", "key", "text")))["text"], "\n\n").alias("text"))
+    return latex.contexts(docs.select(F.col("bib_file").alias("tex_file"), "text")).groupBy("tex_file", "key").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_payload('dblp')} SELECT record_id, regexp_replace(coalesce(trim({_JSON.format('$.title')}), ''), '\\.$', '') AS title,
+      CASE WHEN regexp_matches({_JSON.format('$.year')}, '^[0-9]+$') THEN TRY_CAST({_JSON.format('$.year')} AS INT) END AS year, coalesce(trim({_JSON.format('$.key')}), '') AS native FROM x"""
+)
+def payload_dblp(spark, d):
+    """Records from computer-science bibliography hits."""
+    return projected(spark, d, "dblp").select("record_id", "rec.title", "rec.year", F.col("rec.source_native_id").alias("native"))
+
+
 # ---- pooling, scoring, verdicts -----------------------------------------------------------------
 
 _CAND = f"{R}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY record_id) - 1 AS INT) AS ord FROM r WHERE entry_id IS NOT NULL)"
@@ -606,10 +656,16 @@ def verdicts(spark, d):
     return audit.verdicts(spark, d)
 
 
+@query()
+def final_verdicts(spark, d):
+    """Verdict of every entry after pinned ids and book editions."""
+    return audit.final_verdicts(spark, d)
+
+
 @query()
 def verdict_counts(spark, d):
-    """Entries by verdict, zero-filled."""
-    return score.verdict_counts(spark, audit.verdicts(spark, d))
+    """Entries by final verdict, zero-filled."""
+    return score.verdict_counts(spark, audit.final_verdicts(spark, d))
 
 
 @query()
@@ -630,9 +686,8 @@ def better_versions(spark, d):
 @query()
 def book_editions(spark, d):
     """Editions known of every book, the cited one and the latest."""
-    e, r = audit.load_entries(spark, d), audit.candidates(spark, d)
-    editions = books.dedup_editions(r.filter(F.col("source").isin("openlibrary", "google_books")))
-    return books.resolve_books(e, editions, books.backfilled_isbn(e, r), audit.errors(spark, d, e))
+    e = audit.load_entries(spark, d)
+    return audit.book_editions(spark, d, e, audit.errors(spark, d, e))
 
 
 @query(
