@@ -7,13 +7,15 @@ are found per entry by minimum labels; the representative takes its fields from
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import identifiers as ids
 from citeloom.functions import similarity as sim
 from citeloom.functions import text
-from citeloom.runtime import cut, drop
+from citeloom.runtime import cut, drop, spread
 
 VERSION_TITLE, VERSION_AUTHOR = 0.93, 0.80
 # Sources by trust for each field; a record counts as the best source behind it.
@@ -59,20 +61,31 @@ def version_edges(records: DataFrame, entry: str = "entry_id") -> DataFrame:
     r = records.select(
         F.col(entry).alias("entry"), "ord", "title", "authors", F.col("is_preprint").alias("pre"), ids.published_doi(F.col("ids")["doi"]).alias("doi"), F.array_sort(lead).alias("lead"),
     )
-    two = [F.concat_ws(" ", F.get("lead", F.lit(i)), F.get("lead", F.lit(j))) for i in range(4) for j in range(i + 1, 4)]
-    keys = r.select("entry", "ord", F.explode(F.when(F.size("lead") < 2, F.col("lead")).otherwise(F.array_distinct(F.filter(F.array(*two), lambda k: k.contains(" "))))).alias("key"))
+    word = lambda i: F.get("lead", F.lit(i))
+    two = F.array_compact(F.array(*[F.when(word(b).isNotNull(), F.concat_ws(" ", word(a), word(b))) for a, b in combinations(range(4), 2)]))
+    keys = r.select("entry", "ord", F.explode(F.when(F.size("lead") < 2, F.col("lead")).otherwise(two)).alias("key"))
     pairs = keys.alias("x").join(keys.alias("y"), ["entry", "key"]).filter("x.ord < y.ord").select("entry", F.col("x.ord").alias("a"), F.col("y.ord").alias("b")).distinct()
     mine = r.drop("lead").withColumn("words", text.tokens(F.col("title"))).withColumn("names", text.surnames(F.col("authors")))
-    side = lambda s: mine.select("entry", F.col("ord").alias(s), F.struct("title", "words", "names", "pre", "doi").alias(f"r{s}"))
+    mine = mine.withColumn("plain", F.array_join("words", " ")).withColumn("sorted", F.array_join(F.array_sort("words"), " "))
+    side = lambda s: mine.select("entry", F.col("ord").alias(s), F.struct("title", "words", "names", "pre", "doi", "plain", "sorted").alias(f"r{s}"))
     both = pairs.join(side("a"), ["entry", "a"]).join(side("b"), ["entry", "b"])
     x, y = F.col("ra"), F.col("rb")
     versions = (x["pre"] != y["pre"]) | x["doi"].isNull() | y["doi"].isNull() | (x["doi"] == y["doi"])
-    near = both.filter(versions & ~sim.prefix_trap(x["words"], y["words"]))
+    near = both.filter(versions & _can_be_alike(x, y) & ~sim.prefix_trap(x["words"], y["words"]))
+    near = spread(near, "a", "b")  # few bytes but much work: the ratios must not end up in one task
     good = near.withColumn("t", sim.title_ratio(x["title"], y["title"])).filter(F.col("t") >= VERSION_TITLE)
     same = (sim.author_overlap(x["names"], y["names"]) >= VERSION_AUTHOR) | sim.names_subset(x["names"], y["names"])
     return good.filter(same).select("entry", "a", "b")
 
 
+def _can_be_alike(x, y):
+    """Whether two titles can reach VERSION_TITLE at all: the edit distance is at most the insert/delete
+    distance that ratio allows, plain or sorted, or most words of the shorter title are shared."""
+    room = ((1 - VERSION_TITLE) * (F.length(x["plain"]) + F.length(y["plain"]))).cast("int") + 1
+    close = (F.levenshtein(x["plain"], y["plain"]) <= room) | (F.levenshtein(x["sorted"], y["sorted"]) <= room)
+    return (F.size(F.array_intersect(x["words"], y["words"])) >= 0.6 * F.least(F.size(F.array_distinct(x["words"])), F.size(F.array_distinct(y["words"])))) | close
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(entry, ord, comp)``: smallest ord of each component, by minimum labels; a label moves to all
     neighbours and is replaced by the label of its own node, so long chains halve each round."""

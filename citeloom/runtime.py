@@ -68,6 +68,14 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores before costly work on small rows; a fixed number of partitions is not merged
+    by the adaptive planner, which looks at bytes only."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def drop(*frames: DataFrame | None) -> None:
     """Delete the files of tables made by :func:`cut` that no later plan reads."""
     for df in frames:
