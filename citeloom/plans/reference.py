@@ -309,14 +309,14 @@ def entry_twins(spark, d):
     k AS (SELECT *, coalesce(list_position(list_transform(range(1, CAST(least(len(x), len(y)) AS BIGINT) + 1), lambda i: x[i] = y[i]), false) - 1, least(len(x), len(y))) AS k FROM t),
     u AS (SELECT *, x[k + 1:] AS tx, y[k + 1:] AS ty FROM k),
     v AS (SELECT *, coalesce(len(list_intersect(tx, ty)) / nullif(len(list_distinct(list_concat(tx, ty))), 0), 0.0) AS j FROM u)
-    SELECT entry_id, record_id, CASE WHEN ey IS NULL OR ry IS NULL THEN 1.0 ELSE 1.0 / (1.0 + ((ey - ry) / 3.0) * ((ey - ry) / 3.0)) END AS year_factor,
+    SELECT entry_id, record_id, round(CAST(CASE WHEN ey IS NULL OR ry IS NULL THEN 1 ELSE 1 / (1 + pow(CAST(ey - ry AS DOUBLE) / 3, 2)) END AS DOUBLE), 6) AS year_factor,
       len(x) >= 4 AND len(y) >= 4 AND k >= 3 AND len(tx) > 0 AND len(ty) > 0 AND j < 0.34 AS prefix_trap FROM v"""
 )
 def sim_year_and_prefix(spark, d):
     """Year factor and prefix trap of entries and the records fetched for them."""
     x, y = F.col("e"), F.col("r")
     rows = pairs(spark, d).withColumn("a", text.tokens(x["title"])).withColumn("b", text.tokens(y["title"]))
-    return rows.select("entry_id", "record_id", sim.year_factor(x["year"], y["year"]).alias("year_factor"), sim.prefix_trap(F.col("a"), F.col("b")).alias("prefix_trap"))
+    return rows.select("entry_id", "record_id", F.round(sim.year_factor(x["year"], y["year"]), 6).alias("year_factor"), sim.prefix_trap(F.col("a"), F.col("b")).alias("prefix_trap"))
 
 
 _SETS = f"""WITH {PAIRS}, a AS (SELECT entry_id, record_id, 'e' AS s, unnest(e.authors) AS a FROM p UNION ALL SELECT entry_id, record_id, 'r', unnest(r.authors) FROM p),
@@ -325,14 +325,14 @@ _SETS = f"""WITH {PAIRS}, a AS (SELECT entry_id, record_id, 'e' AS s, unnest(e.a
 
 
 @query(
-    f"""{_SETS} SELECT entry_id, record_id, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END AS author_jaccard,
+    f"""{_SETS} SELECT entry_id, record_id, round(CAST(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END AS DOUBLE), 6) AS author_jaccard,
       len(x) > 0 AND len(y) > 0 AND (len(list_intersect(x, y)) = len(x) OR len(list_intersect(x, y)) = len(y)) AS author_subset FROM g"""
 )
 def sim_author_sets(spark, d):
     """Jaccard and containment of surname sets of entries and the records fetched for them."""
     rows = pairs(spark, d).withColumn("a", text.surnames(F.col("e.authors"))).withColumn("b", text.surnames(F.col("r.authors")))
     out = rows.filter((F.size("a") > 0) | (F.size("b") > 0))
-    return out.select("entry_id", "record_id", sim.names_jaccard(F.col("a"), F.col("b")).alias("author_jaccard"), sim.names_subset(F.col("a"), F.col("b")).alias("author_subset"))
+    return out.select("entry_id", "record_id", F.round(sim.names_jaccard(F.col("a"), F.col("b")), 6).alias("author_jaccard"), sim.names_subset(F.col("a"), F.col("b")).alias("author_subset"))
 
 
 _LOHI = "least(TRY_CAST(nullif(regexp_extract({0}, {1}, 1), '') AS INT), TRY_CAST(nullif(regexp_extract({0}, {1}, 2), '') AS INT))"
