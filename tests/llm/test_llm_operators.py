@@ -196,6 +196,23 @@ def test_label_model_learns_accuracies():
     assert len(linkage.label_model(np.zeros((0, m), dtype=int), np.zeros(0))) == 0
 
 
+def test_candidates_with_typing_errors(spark):
+    row = lambda i, t, a, y, doi=None: (i, t, a, y, None, None, doi, None, None)
+    schema = "id string, title string, authors array<string>, year int, venue string, pages string, doi string, arxiv string, fetched_for string"
+    left = [
+        row("surname", "Learning about the cahce line through commits", ["Sorigleard, Leila"], 1999), row("bare", "Hydrologcal aspects of permafrost in heatwaves", [], None),
+        row("word", "Learning about cache line commits", ["Sorigleard, Leila"], 1950), row("short", "Collsion reconsidered", ["Tamizor, P."], 1990), row("doi", "Another wording", [], None, "doi:10.1/x"),
+    ]
+    right = [
+        row("surname", "Learning about the cache line through commits", ["Sotigleard, Leila"], 1999), row("bare", "Hydrological aspects of permafrost in heatwaves", ["Orlom, P."], 2001),
+        row("short", "Collision reconsidered", ["Tanizol, P.", "Voer, A."], 1991), row("doi", "Zirconium oxide layers at work", ["Voer, A."], 2003, "doi:10.1/x"),
+    ]
+    a, b = (linkage.featurize(spark.createDataFrame(rows, schema), {}, r) for rows, r in ((left, False), (right, True)))
+    got = {(r.id_l, r.id_r): r.narrow for r in linkage.candidates(a, b).collect()}
+    assert got == {("surname", "surname"): False, ("bare", "bare"): False, ("word", "surname"): False, ("short", "short"): False, ("doi", "doi"): False}
+
+
+
 # ---- markup -------------------------------------------------------------------------------------
 
 
