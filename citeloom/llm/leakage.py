@@ -3,13 +3,14 @@
 Training documents are taken in shards of about SHARD_CHARS characters.  Its texts become token ids (markup, citation marks,
 line-end hyphens, look-alike letters, case and punctuation removed first), and its suffixes are sorted.
 Every suffix of the test items is binary-searched in that array; the neighbours of the hit give all
-locations and the longest verbatim match at each.  Only positions that start a word triple of some test
-item can match one, so only those suffixes enter the array: the matches are the same.
+locations.  Only positions that start a specific word triple of some test item enter the array; sentences
+with too few of those are looked up whole, by their first triple.
 
 Exact check: a test sentence is present where at least SHARE of its specific word triples (those in at most
 SPECIFIC test items) are matched close together, which typos, inserted marks and changed words survive and
-shared phrases do not reach.  An item leaks if two consecutive sentences of it are present (a one-sentence
-item: that sentence at ALONE).  Longer test sets than MAX_TOKENS are searched in blocks.
+shared phrases do not reach.  A sentence with fewer than LEAST specific triples (shared or stock wording) is present where all its tokens stand in a row right before or after its neighbour's.  An item leaks if
+two consecutive sentences of it are present (a one-sentence item: that sentence at ALONE, or whole if it has too
+few specific triples).  The longest verbatim match is measured on every diagonal of hits over the whole item.  Longer test sets than MAX_TOKENS are searched in blocks.
 
 Null and empty texts match nothing; repeated documents are reported each; the result has distinct rows.
 """
@@ -27,13 +28,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.runtime import cut
+
 #: Tokens of test text that are broadcast at once.
 MAX_TOKENS = 2_000_000
 #: A triple is specific if at most so many test items hold it.
 SPECIFIC = 2
 SHARE = 0.35
 ALONE = 0.6
-#: Least number of specific triples that can prove a sentence, and longest match that is measured.
+#: Tokens (page numbers, marks) that may stand between a sentence and the exact one beside it.
+SLACK = 3
+#: Least number of specific triples that can prove a sentence, and tokens compared when suffixes are sorted.
 LEAST = 4
 DEPTH = 64
 #: Characters of training text per suffix array; a longer document is one shard.
@@ -81,10 +86,12 @@ class TestSet:
     length: np.ndarray  # tokens per sentence
     item_of: np.ndarray  # item row per sentence
     item_ids: list[int]
+    start: np.ndarray  # first position of each sentence, and the end
+    blind: dict[int, list[int]]  # first triple -> sentences that specific triples can't prove
 
 
-def prepare(items: list[tuple[int, str]]) -> TestSet:
-    """Index the test items ``(item_id, text)``."""
+def prepare(items: list[tuple[int, str]], shared: set[tuple[str, str, str]] | None = None) -> TestSet:
+    """Index the test items ``(item_id, text)``; ``shared``: triples that are not specific, if counted elsewhere."""
     vocabulary: dict[str, int] = {}
     ids, item, sentence, length, item_of = [], [], [], [], []
     for row, (_, text) in enumerate(items):
@@ -105,13 +112,27 @@ def prepare(items: list[tuple[int, str]]) -> TestSet:
         keys[:-2] = np.where(same, _triples(a), -1)
     holders = pd.DataFrame({"k": keys, "i": it}).query("k >= 0").drop_duplicates().groupby("k").size()
     rare = np.sort(holders[holders <= SPECIFIC].index.to_numpy(dtype=np.int64))
+    if shared is not None:
+        known = [[vocabulary.get(w, 0) for w in t] for t in shared]
+        rare = np.setdiff1d(rare, [(x << 42) | (y << 21) | z for x, y, z in known if x and y and z])
     specific = np.isin(keys, rare)
+    n_specific = np.bincount(se[specific], minlength=len(length))
+    start = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+    blind: dict[int, list[int]] = {}
+    for s in np.flatnonzero((n_specific < LEAST) & (np.array(length, dtype=np.int64) >= 3)):
+        blind.setdefault(int(keys[start[s]]), []).append(int(s))
     return TestSet(
-        vocabulary, a, it, se, specific, rare, np.bincount(se[specific], minlength=len(length)),
-        np.array(length, dtype=np.int64), np.array(item_of, dtype=np.int64), [i for i, _ in items],
+        vocabulary, a, it, se, specific, rare, n_specific,
+        np.array(length, dtype=np.int64), np.array(item_of, dtype=np.int64), [i for i, _ in items], start, blind,
     )
 
 
+def item_triples(text: str) -> set[tuple[str, str, str]]:
+    """Word triples within the sentences of a test item."""
+    sentences = [tokens(part) for part in _SENTENCE.split(text or "")]
+    return {t for w in sentences for t in zip(w, w[1:], w[2:], strict=False)}
+
+
 def _triples(ids: np.ndarray) -> np.ndarray:
     """Key of the three ids from each position on; negative where a token is no word of the test set."""
     a, b, c = ids[:-2], ids[1:-1], ids[2:]
@@ -160,39 +181,88 @@ def find_in_shard(texts: list[str], test: TestSet, test_windows: np.ndarray, tes
         doc_of.append((start, row))
         start += len(part) + 2
     ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-    if len(ids) < 3 or not len(test.keys):
+    if len(ids) < 3:
         return []
     keys = _triples(ids)
-    at = np.searchsorted(test.keys, keys)
-    positions = np.flatnonzero((keys >= 0) & (test.keys[np.minimum(at, len(test.keys) - 1)] == keys))
-    if not len(positions):
-        return []
-    query, entry, size = SuffixArray(ids, positions).search(test_windows)
-    tpos, dpos = test_positions[query], positions[entry]
     starts = np.array([s for s, _ in doc_of], dtype=np.int64)
-    doc = np.searchsorted(starts, dpos, side="right") - 1
-    sentence = test.sentence[tpos]
-    need = np.maximum(LEAST, np.ceil(SHARE * test.n_specific)).astype(np.int64)
-    hits = pd.DataFrame({"doc": doc, "sentence": sentence, "tpos": tpos, "dpos": dpos, "size": size})
-    enough = hits.groupby(["doc", "sentence"])["tpos"].nunique()
-    enough = enough[enough.to_numpy() >= need[enough.index.get_level_values("sentence")]]
-    if enough.empty:
-        return []
-    hits = hits.merge(enough.rename("n").reset_index(), on=["doc", "sentence"]).sort_values(["doc", "sentence", "dpos"])
-    present: dict[tuple[int, int], dict[int, tuple[float, int]]] = {}
-    for (d, s), g in hits.groupby(["doc", "sentence"], sort=False):
-        n = _densest(g["dpos"].to_numpy(), g["tpos"].to_numpy(), int(test.length[s] * 3 // 2 + 10))
-        if n >= need[s]:
-            present.setdefault((d, int(test.item_of[s])), {})[s] = (n / test.n_specific[s], int(g["size"].max()))
-    out = []
+    at = np.searchsorted(test.keys, keys)
+    positions = np.flatnonzero((keys >= 0) & (test.keys[np.minimum(at, len(test.keys) - 1)] == keys)) if len(test.keys) else np.zeros(0, dtype=np.int64)
+    # (document, item) -> sentence -> share of specific triples, and where it stands
+    present: dict[tuple[int, int], dict[int, tuple[float, list[tuple[int, int]]]]] = {}
+    diagonals: dict[tuple[int, int], np.ndarray] = {}
+    if len(positions):
+        query, entry, _ = SuffixArray(ids, positions).search(test_windows)
+        tpos, dpos = test_positions[query], positions[entry]
+        doc = np.searchsorted(starts, dpos, side="right") - 1
+        sentence = test.sentence[tpos]
+        need = np.maximum(LEAST, np.ceil(SHARE * test.n_specific)).astype(np.int64)
+        hits = pd.DataFrame({"doc": doc, "sentence": sentence, "tpos": tpos, "dpos": dpos})
+        enough = hits.groupby(["doc", "sentence"])["tpos"].nunique()
+        enough = enough[enough.to_numpy() >= need[enough.index.get_level_values("sentence")]]
+        hits = hits.merge(enough.rename("n").reset_index(), on=["doc", "sentence"]).sort_values(["doc", "sentence", "dpos"])
+        for (d, s), g in hits.groupby(["doc", "sentence"], sort=False):
+            dp, tp = g["dpos"].to_numpy(), g["tpos"].to_numpy()
+            n = _densest(dp, tp, int(test.length[s] * 3 // 2 + 10))
+            if n >= need[s]:
+                lined = np.unique(dp - tp)
+                found = present.setdefault((d, int(test.item_of[s])), {})
+                found[s] = (n / test.n_specific[s], [(int(x + test.start[s]), int(x + test.start[s + 1])) for x in lined])
+                key = (d, int(test.item_of[s]))
+                diagonals[key] = np.union1d(diagonals.get(key, lined), lined)
+    blind: dict[tuple[int, int], dict[int, list[int]]] = {}
+    if test.blind:
+        for p in np.flatnonzero(np.isin(keys, np.fromiter(test.blind, dtype=np.int64))):
+            d = int(np.searchsorted(starts, p, side="right") - 1)
+            for s in test.blind[int(keys[p])]:
+                if np.array_equal(ids[p : p + test.length[s]], test.ids[test.start[s] : test.start[s + 1]]):
+                    blind.setdefault((d, int(test.item_of[s])), {}).setdefault(s, []).append(int(p))
+    sentences = np.bincount(test.item_of, minlength=len(test.item_ids))
     usable = np.bincount(test.item_of[test.n_specific >= LEAST], minlength=len(test.item_ids))
-    for (d, i), found in present.items():
+    first = np.searchsorted(test.item_of, np.arange(len(test.item_ids) + 1))
+    out = []
+    for d, i in sorted(present.keys() | blind.keys()):
+        found, exact = present.get((d, i), {}), blind.get((d, i), {})
+        where = {s: list(spans) for s, (_, spans) in found.items()}
         pair = any(s + 1 in found for s in found)
-        if pair or (usable[i] == 1 and max(r for r, _ in found.values()) >= ALONE):
-            out.append((doc_of[d][1], test.item_ids[i], len(found), max(m for _, m in found.values())))
+        seen, joined = set(found), set()
+        end = int(starts[d + 1]) if d + 1 < len(starts) else len(ids)
+        for order, step in ((range(first[i], first[i + 1]), -1), (range(first[i + 1] - 1, first[i] - 1, -1), 1)):
+            for s in order:
+                if test.n_specific[s] >= LEAST or not first[i] <= s + step < first[i + 1]:
+                    continue
+                size = int(test.length[s])
+                beside = where.get(s + step) or ([(p, p + int(test.length[s + step])) for p in exact.get(s + step, [])] if size >= 3 else [])
+                if size >= 3:
+                    spots = exact.get(s, [])
+                    near = [p for p in spots for b, e in beside if (abs(p - e) if step < 0 else abs(p + size - b)) <= SLACK]
+                else:  # too short for a triple or a sentence of its own: it may join its two neighbours
+                    near = [p for b, e in beside for p in [e if step < 0 else b - size] if starts[d] <= p <= end - size and np.array_equal(ids[p : p + size], test.ids[test.start[s] : test.start[s + 1]])]
+                if near:
+                    pair |= size >= 3
+                    if size < 3 and step < 0:
+                        joined.add(s)
+                    seen |= {s, s + step}
+                    where.setdefault(s, []).extend((p, p + size) for p in near)
+        pair |= any(s + 1 < first[i + 1] and s + 1 in where for s in joined)
+        one = usable[i] == 1 and any(r >= ALONE for r, _ in found.values())
+        if pair or one or (sentences[i] == 1 and exact):
+            seen |= exact.keys() if sentences[i] == 1 else set()
+            lined = [diagonals.get((d, i), np.zeros(0, dtype=np.int64)), *(np.array([p - test.start[s] for p in ps]) for s, ps in exact.items())]
+            item = (int(test.start[first[i]]), int(test.start[first[i + 1]]))
+            longest = max(_longest(ids[starts[d] : end], int(x - starts[d]), test.ids, *item) for x in np.unique(np.concatenate(lined)).astype(np.int64))
+            longest = min(longest, DEPTH)
+            out.append((doc_of[d][1], test.item_ids[i], len(seen), longest))
     return out
 
 
+def _longest(ids: np.ndarray, shift: int, test_ids: np.ndarray, begin: int, end: int) -> int:
+    """Longest run of equal tokens of a document and of test positions ``begin`` to ``end``, laid ``shift`` apart."""
+    begin, end = max(begin, -shift), min(end, len(ids) - shift)
+    same = np.concatenate([[False], ids[begin + shift : end + shift] == test_ids[begin:end], [False]])
+    edges = np.flatnonzero(same[1:] != same[:-1])
+    return int((edges[1::2] - edges[::2]).max(initial=0))
+
+
 def _densest(dpos: np.ndarray, tpos: np.ndarray, width: int) -> int:
     """Most distinct test positions matched within ``width`` tokens of a document."""
     best, left, count = 0, 0, {}
@@ -216,22 +286,39 @@ def find_leaks(documents: DataFrame, items: DataFrame, max_tokens: int = MAX_TOK
     rows = items.select("item_id", "text").filter("item_id is not null and trim(text) <> ''").distinct()
     total = rows.agg(F.sum(F.length("text") / 5)).first()[0] or 0
     blocks = max(1, int(-(-total // max_tokens)))
-    found = None
+    found, shared = None, None
+    if blocks > 1:  # triples are counted over all items, not in each block
+        shared = cut(_shared_triples(rows), "leak-triples")
     for b in range(blocks):
         part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        one = _find_block(documents, sorted(map(tuple, part.collect())))
+        common = None
+        if shared is not None:
+            mine = _triple_rows(part).select("triple").distinct()
+            common = {tuple(r.triple) for r in shared.join(mine, "triple", "left_semi").collect()}  # no more than the block has
+        one = _find_block(documents, sorted(map(tuple, part.collect())), common)
         found = one if found is None else found.union(one)
     return found.distinct()
 
 
-def _find_block(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(items)
+def _triple_rows(items: DataFrame) -> DataFrame:
+    """``(item, triple)`` of every word triple within a sentence."""
+    udf = F.udf(lambda t: [list(x) for x in item_triples(t)], "array<array<string>>")
+    return items.select(F.xxhash64("item_id", "text").alias("item"), F.explode(udf("text")).alias("triple"))
+
+
+def _shared_triples(items: DataFrame) -> DataFrame:
+    """The triples that more than SPECIFIC items hold."""
+    return _triple_rows(items).groupBy("triple").agg(F.countDistinct("item").alias("n")).filter(F.col("n") > SPECIFIC).select("triple")
+
+
+def _find_block(documents: DataFrame, items: list[tuple[int, str]], common: set[tuple[str, str, str]] | None = None) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast((items, common))
     token = uuid.uuid4().hex
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if token not in _ready:
             _ready.clear()
-            test = prepare(shared.value)
+            test = prepare(*shared.value)
             positions = np.flatnonzero(test.specific)
             _ready[token] = (test, _windows(test.ids, positions), positions)
         test, windows, positions = _ready[token]

@@ -329,6 +329,22 @@ def test_leaks(spark):
     assert {r.doc_id for r in leakage.remove_leaked(d.filter("doc_id is not null"), found).collect()} == {3, 4, 8, 9, 11, 12}
 
 
+def test_leaks_of_shared_sentences(spark):
+    items, rng = make_items()
+    stock = "We thank two anonymous reviewers for helpful comments."
+    both = "The tide was low when the last boat left for good. Nobody on the quay could say who had untied it."
+    texts = {i: s[0] + " " + stock + " " + " ".join(s[1:]) for i, _, s in items[:5]} | {800 + i: both + " " + items[10 + i][2][0] for i in range(3)}
+    filler = "The market of labour responds to the enzyme within steps when the glacier is cold. " * 4
+    s = items[0][2]
+    docs = {1: filler + s[0] + " " + stock + filler, 2: filler + both + filler, 3: stock + filler + s[0], 4: s[0] + filler + stock, 5: filler + texts[101] + filler}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    t = spark.createDataFrame([(i, "s", x) for i, x in texts.items()], "item_id long, suite string, text string")
+    want = {(1, 100), (2, 800), (2, 801), (2, 802), (5, 101)}
+    found = {(r.doc_id, r.item_id): r.longest for r in leakage.find_leaks(d, t).collect()}
+    assert set(found) == want
+    assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, t, max_tokens=100).collect()} == want  # in blocks
+
+
 def test_suffix_array_against_brute_force():
     rng = np.random.default_rng(4)
     text, query = rng.integers(1, 5, 400), rng.integers(1, 5, 60)
