@@ -250,7 +250,6 @@ def find_in_shard(texts: list[str], test: TestSet, test_windows: np.ndarray, tes
             lined = [diagonals.get((d, i), np.zeros(0, dtype=np.int64)), *(np.array([p - test.start[s] for p in ps]) for s, ps in exact.items())]
             item = (int(test.start[first[i]]), int(test.start[first[i + 1]]))
             longest = max(_longest(ids[starts[d] : end], int(x - starts[d]), test.ids, *item) for x in np.unique(np.concatenate(lined)).astype(np.int64))
-            longest = min(longest, DEPTH)
             out.append((doc_of[d][1], test.item_ids[i], len(seen), longest))
     return out
 

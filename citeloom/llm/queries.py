@@ -90,7 +90,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per test item: documents that leak it and the longest verbatim match in tokens (64 = or longer)."""
+    """Per test item: documents that leak it and the longest verbatim match in tokens."""
     leaks = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("longest").alias("longest"))
 

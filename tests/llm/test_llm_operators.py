@@ -329,7 +329,7 @@ def test_leaks(spark):
     assert {r.doc_id for r in leakage.remove_leaked(d.filter("doc_id is not null"), found).collect()} == {3, 4, 8, 9, 11, 12}
 
 
-def test_leaks_of_shared_sentences(spark):
+def test_leaks_of_shared_sentences_and_full_length(spark):
     items, rng = make_items()
     stock = "We thank two anonymous reviewers for helpful comments."
     both = "The tide was low when the last boat left for good. Nobody on the quay could say who had untied it."
@@ -341,7 +341,7 @@ def test_leaks_of_shared_sentences(spark):
     t = spark.createDataFrame([(i, "s", x) for i, x in texts.items()], "item_id long, suite string, text string")
     want = {(1, 100), (2, 800), (2, 801), (2, 802), (5, 101)}
     found = {(r.doc_id, r.item_id): r.longest for r in leakage.find_leaks(d, t).collect()}
-    assert set(found) == want
+    assert set(found) == want and found[5, 101] == len(leakage.tokens(texts[101])) > leakage.DEPTH
     assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, t, max_tokens=100).collect()} == want  # in blocks
 
 
