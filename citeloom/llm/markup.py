@@ -69,6 +69,7 @@ _LEX = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _KINDS), re.S)
 #: Whether a text can hold a construct at all.
 CANDIDATE = re.compile(r"[<{\\`\[*_$~]|&[#A-Za-z]|''|(?m:^[ \t]*(?:[-+•>|=#]))")
 _WORD = re.compile(r"\w+")
+_MATH_NAMES = ("equation", "align", "displaymath", "math", "eqnarray")
 N_FEATURES = len(KIND) + PATH_BITS + WORD_BITS + 10
 
 Leaf = tuple[str, str]  # kind, surface
@@ -330,8 +331,11 @@ _BLOCK = re.compile(r"^</?(?:\w+:)?(?:p|div|br|ul|ol|table|tr|title|sec|section|
 def clean(parts: list[Leaf], labels: np.ndarray) -> str:
     """Clean text of a labelled sequence, keeping headings, lists, code and formulas."""
     out: list[str] = []
-    for i, ((kind, s), y) in enumerate(zip(parts, labels, strict=True)):
-        if kind in ("text", "break", "sign") or y in (TEXT, SIGN):
+    inside = formula_leaves(parts)
+    for (kind, s), y, kept in zip(parts, labels, inside, strict=True):
+        if kept and kind not in ("comment", "entity", "tag"):
+            out.append(s)  # a formula stays as it is
+        elif kind in ("text", "break", "sign") or y in (TEXT, SIGN):
             out.append(s)
         elif kind == "comment" or kind == "template":
             continue
@@ -351,7 +355,7 @@ def clean(parts: list[Leaf], labels: np.ndarray) -> str:
             out.append(s)
         elif kind == "environment":
             name = s.split("{", 1)[1].split("}")[0]
-            out.append("$" if name.rstrip("*") in ("equation", "align", "displaymath", "math", "eqnarray") else "\n")
+            out.append("$" if name.rstrip("*") in _MATH_NAMES else "\n")
         elif kind == "formula":
             inner = re.sub(r"^(\$\$|\$|\\\(|\\\[)|(\$\$|\$|\\\)|\\\])$", "", s).strip()
             out.append(f"${inner}$")
@@ -359,7 +363,7 @@ def clean(parts: list[Leaf], labels: np.ndarray) -> str:
             letter = re.sub(r"[{}\\\s]", "", s[2:])
             out.append(unicodedata.normalize("NFC", letter + _ACCENTS[s[1]]))
         elif kind == "command":
-            out.append("\n- " if s == "\\item" else s if _in_formula(out) else "")
+            out.append("\n- " if s == "\\item" else "")
         elif kind == "escape":
             out.append(s[1:] if s[1] in "&%$#_{}" else " ")
         elif kind == "link":
@@ -367,7 +371,7 @@ def clean(parts: list[Leaf], labels: np.ndarray) -> str:
         elif kind == "wikilink":
             out.append(s.strip("[]").split("|")[-1] if s.startswith("[[") else s.strip("[]").partition(" ")[2])
         elif kind == "brace":
-            out.append(s if _in_formula(out) else "")
+            out.append("")
         elif kind in ("strong", "strike"):
             out.append(s[2:-2])
         elif kind == "emphasis":
@@ -388,8 +392,35 @@ def clean(parts: list[Leaf], labels: np.ndarray) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", text)).strip()
 
 
-def _in_formula(out: list[str]) -> bool:
-    return "".join(out[-40:]).count("$") % 2 == 1
+def formula_leaves(parts: list[Leaf]) -> list[bool]:
+    """Whether each leaf lies between the begin and end of a math environment, or between two single $ signs.
+
+    An environment that is not closed holds nothing.  Signs pair up within a paragraph by the rule for
+    formulas: no space after the first or before the second, no letter or digit outside of them.
+    """
+    inside = [False] * len(parts)
+    opened: tuple[int, str] | None = None
+    for i, (kind, s) in enumerate(parts):
+        if kind == "environment" and (m := re.match(r"\\(begin|end)\s*\{([^{}]*)\}", s)) and m[2].rstrip("*") in _MATH_NAMES:
+            if m[1] == "begin":
+                opened = opened or (i, m[2])
+            elif opened and opened[1] == m[2]:
+                inside[opened[0] + 1 : i] = [True] * (i - opened[0] - 1)
+                opened = None
+    start = None
+    for i, (kind, s) in enumerate(parts):
+        if kind == "break" and s.count("\n") > 1:
+            start = None
+        elif kind == "sign" and s.count("$") == 1 and not inside[i]:
+            before, _, after = s.partition("$")
+            before = before or (parts[i - 1][1] if i else "")
+            after = after or (parts[i + 1][1] if i + 1 < len(parts) else "")
+            if start is not None and re.search(r"[^\s\\]$", before) and not re.match(r"\w", after):
+                inside[start + 1 : i] = [True] * (i - start - 1)
+                start = None
+            elif re.match(r"[^\s$]", after) and not re.search(r"[\w\\$]$", before):
+                start = i
+    return inside
 
 
 def label_texts(texts: list[str], model: BiLSTM) -> list[tuple[list[Leaf], np.ndarray]]:

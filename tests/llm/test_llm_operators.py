@@ -296,6 +296,18 @@ def test_packing_empty_and_tokenizer(spark):
     assert set(got) == {1, 2, 3} and got[2] == got[3] == 0 and got[1] > 8
 
 
+def test_long_formulas_are_kept():
+    body = " + ".join(rf"\frac{{a_{{{i}}}}}{{b}} \, \alpha" for i in range(60))
+    for text, want in (
+        (rf"Costs $5 so \begin{{align*}}{body}\end{{align*}} then \emph{{x}}", rf"Costs $5 so ${body}$ then x"),
+        (rf"by $x + {body}$ and \emph{{y}}", rf"by $x + {body}$ and y"),
+        (r"it costs $5 and \emph{six} costs $6 or \begin{equation} \emph{z}", "it costs $5 and six costs $6 or $ z"),
+    ):
+        parts = markup.leaves(text)
+        labels = np.array([markup.TEXT if k == "text" else markup.SIGN if k == "sign" else markup.MARKUP for k, _ in parts])
+        assert markup.clean(parts, labels) == want
+
+
 # ---- leakage ------------------------------------------------------------------------------------
 
 
