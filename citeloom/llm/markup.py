@@ -473,13 +473,13 @@ _PIECE = re.compile(
     r"(?P<entity>&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)"
     r"|\\(?P<mark>[\"'`^~=.])\s*\{?\s*\\?(?P<on>[A-Za-z])\s*\}?|\\(?P<named>[cHvuk])(?:\s*\{(?P<under>[A-Za-z])\}|\s+(?P<bare>[A-Za-z]))"
     r"|\\(?P<stroke>ss|ae|AE|aa|AA|oe|OE|[oOlLij])(?![A-Za-z])(?:\{\}|\s)?|\\(?P<kept>[&%$#_{}])|(?P<quote>``|'')"
-    r"|(?P<block></?(?:\w+:)?(?:p|div|br|ul|ol|table|tr|title|sec|section|blockquote|h[1-6])\b[^<>]*>|\\(?:begin|end)\s*\{[^{}]*\}|\\\\)|(?P<tie>~|\\[,;: ])|\\[A-Za-z]+\*?|</?[A-Za-z][^<>]*>|.",
+    r"|(?P<block></?(?:\w+:)?(?:p|div|br|ul|ol|table|tr|title|sec|section|blockquote|h[1-6])\b[^<>]*>|\\(?:begin|end)\s*\{[^{}]*\}|\\\\)|(?P<tie>~|\\[,;: ])|\\[A-Za-z]+\*?[ \t]*|</?[A-Za-z][^<>]*>|(?P<word>[^\W_]+)|.",
     re.S,
 )
 
 
 def decode(run: str, quotes: bool = False) -> str:
-    """What a run labelled markup stands for: letters, signs, line breaks, mostly nothing.
+    """What a run labelled markup stands for: letters, signs, line breaks, mostly nothing.  Words of no tag or command stay.
 
     ``quotes``: two single quotes are quotation marks, as the text holds their counterpart.
     """
@@ -495,7 +495,7 @@ def decode(run: str, quotes: bool = False) -> str:
             return html.unescape(m[0])
         if m["quote"]:
             return '"' if quotes else ""
-        return m["kept"] or ("\n" if m["block"] else " " if m["tie"] else "")
+        return m["kept"] or m["word"] or ("\n" if m["block"] else " " if m["tie"] else "")
 
     return _PIECE.sub(one, _DROP.sub("", run))
 
