@@ -68,6 +68,12 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """``df`` as it is; the files below ``path``, which it reads, are deleted at exit."""
+    _tables.append((spark, path))
+    return df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` over all cores before costly work on small rows; a fixed number of partitions is not merged
     by the adaptive planner, which looks at bytes only."""
