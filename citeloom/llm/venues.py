@@ -2,13 +2,16 @@
 
 A value is cleaned (entities, accents, case, wrappers such as "Proceedings of the 9th", volume and
 medium suffixes), its known abbreviations are expanded, and a few spellings of it are looked up in
-a BK-tree holding the spellings of all reference entries; the tree returns every entry within the
-threshold and the nearest one whose words agree wins.  Words that are known to the reference list must
-occur in the entry as they stand, so a listed neighbour is no match for an unlisted venue.
+a BK-tree holding the spellings of all reference entries (names, expanded and abbreviated, and acronyms);
+the tree returns every entry within the threshold and the nearest one whose words agree wins.  Every lookup,
+exact ones included, goes through the tree.  Words that are known to the reference list must occur in the
+entry as they stand, so a listed neighbour is no match for an unlisted venue; words of fewer than five
+letters must agree up to one edit or swap.
 
-The reference list is broadcast while it has at most MAX_BROADCAST entries; a larger one is split into
-shards, each value visits every shard, and the shard winners merge by minimum.  Null and blank values
-get no row, placeholders and unlisted values the id -1; ties go to the smallest id.
+What the list says about words (abbreviations, vocabulary) is learnt over the whole list.  The list is broadcast
+while it has at most MAX_BROADCAST entries; a larger one is split into shards that hold a tree each, each value
+visits every shard with what is known of its words, and the shard winners merge by minimum: the result is the
+same.  Null and blank values get no row, placeholders and unlisted values the id -1; ties go to the smallest id.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.editdistance import BKTree
+from citeloom.llm.editdistance import BKTree, distance
 from citeloom.runtime import cut
 
 #: Largest reference list that is broadcast whole, and the size of a shard beyond it.
@@ -32,6 +35,8 @@ SHARD = 20_000
 #: Edits a spelling may be away from its entry, and letters that may be cut off its end.
 MAX_EDITS = 2
 MAX_CUT = 6
+#: Words of fewer letters may hold one edit or swap only.
+SHORT_WORD = 5
 CACHE = 200_000
 
 STOP = {"of", "on", "in", "and", "the", "de", "for", "an", "a"}
@@ -62,85 +67,128 @@ def fold(text: str) -> str:
     return t
 
 
+def split(text: str) -> list[str]:
+    """Words of a folded text."""
+    return [w for w in re.findall(r"\w+", fold(text)) if w not in STOP]
+
+
+def told(entries) -> list[tuple[str, str, int, int]]:
+    """``(abbreviation, word, entry, position)`` of what names and abbreviations of the same number of words say."""
+    out = []
+    for vid, name, abbrev in entries:
+        words, parts = split(name), split(abbrev or "")
+        if len(words) == len(parts):
+            out += [(p, w, vid, i) for i, (w, p) in enumerate(zip(words, parts, strict=True)) if w.startswith(p[:1]) and w != p]
+    return out
+
+
+#: What the list says of a word: its full form, the short form of that, and whether any name holds the full form.
+Lexicon = dict[str, tuple[str, str, bool]]
+
+
+def learn(entries, words) -> Lexicon:
+    """The lexicon of the given words from the whole list; the first entry that tells an abbreviation counts."""
+    full = dict(SHORT)
+    for p, w, _, _ in sorted(told(entries), key=lambda t: t[2:]):
+        full.setdefault(p, w)
+    brief: dict[str, str] = {}
+    for p, w in full.items():
+        brief.setdefault(w, p)
+    names = {full.get(w, w) for _, name, _ in entries for w in split(name)}
+    return {w: (e, brief.get(e, e), e in names) for w in words for e in [full.get(w, w)]}
+
+
+def lexicon(ref: DataFrame, words: DataFrame) -> DataFrame:
+    """The same as a table ``(word, full, short, known)``, for lists and values of any size."""
+    spark = ref.sparkSession
+    rows = ref.select("venue_id", "name", "abbrev")
+    tell = lambda batches: (pd.DataFrame(told(pdf.itertuples(index=False)), columns=["p", "w", "vid", "pos"]) for pdf in batches)
+    fixed = spark.createDataFrame([(p, w, -1, i) for i, (p, w) in enumerate(SHORT.items())], "p string, w string, vid long, pos int").withColumn("learnt", F.lit(1))
+    said = fixed.withColumn("learnt", F.lit(0)).union(rows.mapInPandas(tell, "p string, w string, vid long, pos int").withColumn("learnt", F.lit(1)))
+    full = said.groupBy("p").agg(F.min(F.struct("learnt", "vid", "pos", "w")).alias("t"))
+    brief = full.groupBy(F.col("t.w").alias("w")).agg(F.min(F.struct("t.learnt", "t.vid", "t.pos", "p"))["p"].alias("short"))
+    full = full.select(F.col("p").alias("word"), F.col("t.w").alias("full"))
+    names = rows.select(F.explode(_words_udf()("name")).alias("word")).distinct().join(full, "word", "left").select(F.coalesce("full", "word").alias("w")).distinct()
+    known = words.join(full, "word", "left").select("word", F.coalesce("full", "word").alias("w"))
+    known = known.join(brief, "w", "left").join(names.withColumn("known", F.lit(True)), "w", "left")
+    return known.select("word", F.col("w").alias("full"), F.coalesce("short", "w").alias("short"), F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def _words_udf():
+    return F.pandas_udf(lambda s: s.map(lambda t: sorted(set(split(t or "")))), "array<string>")
+
+
 class VenueIndex:
     """The reference entries ``(venue_id, name, abbrev)`` with their spellings in a BK-tree."""
 
-    def __init__(self, entries: list[tuple[int, str, str | None]]):
-        self.full = dict(SHORT)
-        for _, name, abbrev in entries:
-            words, parts = self._split(name), self._split(abbrev or "")
-            if len(words) == len(parts):
-                for w, p in zip(words, parts, strict=True):
-                    if w.startswith(p[:1]) and w != p:
-                        self.full.setdefault(p, w)
-        self.brief: dict[str, str] = {}
-        for p, w in self.full.items():
-            self.brief.setdefault(w, p)
+    def __init__(self, entries: list[tuple[int, str, str | None]], lex: Lexicon):
+        self.lex = lex
         self.words: dict[int, set[str]] = {}
-        self.exact: dict[str, int] = {}
-        self.names: dict[str, list[int]] = {}
-        self.acronym: dict[str, int] = {}
-        self.vocabulary: set[str] = set()
+        self.names: dict[str, list[int]] = {}  # spellings of several words
+        self.acronyms: dict[str, list[int]] = {}
         for vid, name, abbrev in sorted(entries, key=lambda e: e[0]):
-            words = [self.full.get(w, w) for w in self._split(name)]
-            self.words[vid] = set(words)
-            self.vocabulary |= set(words)
-            for key in {" ".join(words), " ".join(self.brief.get(w, w) for w in words)}:
+            known = [self._of(w) for w in split(name)]
+            self.words[vid] = {full for full, _, _ in known}
+            spellings = {" ".join(full for full, _, _ in known), " ".join(short for _, short, _ in known)}
+            got = split(abbrev or "")
+            if len(got) == 1:
+                self.acronyms.setdefault(got[0], []).append(vid)
+            elif got:
+                spellings.add(" ".join(self._of(w)[0] for w in got))
+            for key in spellings:
                 if key:
                     self.names.setdefault(key, []).append(vid)
-                    self.exact.setdefault(key, vid)
-            if abbrev:
-                got = self._split(abbrev)
-                if len(got) == 1:
-                    self.acronym.setdefault(got[0], vid)
-                else:
-                    self.exact.setdefault(" ".join(self.full.get(w, w) for w in got), vid)
-        self.tree = BKTree(list(self.names))
-
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        return [w for w in re.findall(r"\w+", fold(text)) if w not in STOP]
-
-    def find(self, values: list[str]) -> list[tuple[int, int]]:
-        """``(distance, venue_id)`` of the entry meant by each value, ``(-1, -1)`` if none is."""
-        out = [(-1, -1)] * len(values)
+        self.tree = BKTree([*self.names, *(a for a in self.acronyms if a not in self.names)])
+
+    def _of(self, word: str) -> tuple[str, str, bool]:
+        return self.lex.get(word, (word, word, False))
+
+    def find(self, values: list[str]) -> list[tuple[int, int, int]]:
+        """``(grade, distance, venue_id)`` of the entry meant by each value, ``(99, 99, -1)`` if none is.
+
+        Grade: 0 an acronym or the whole name, up to MAX_EDITS edits, then a name cut off.
+        """
         keys: list[str] = []
-        owner: list[tuple[int, tuple[str, ...]]] = []
+        within: list[int] = []
+        owner: list[tuple[int, str, list[tuple[str, str, bool]]]] = []  # value, kind of spelling, its words
         for k, value in enumerate(values):
             folded = fold(value)
-            if (m := _ACRONYM.match(folded)) and m[1] in self.acronym:
-                out[k] = (0, self.acronym[m[1]])
-                continue
-            words = [self.full.get(w, w) for w in re.findall(r"\w+", folded) if w not in STOP]
-            plain = " ".join(words)
-            if plain in self.exact:
-                out[k] = (0, self.exact[plain])
-                continue
-            sure = tuple(w for w in words[:-1] if w in self.vocabulary)
+            if m := _ACRONYM.match(folded):
+                keys.append(m[1])
+                within.append(0)
+                owner.append((k, "acronym", []))
+            raw = [w for w in re.findall(r"\w+", folded) if w not in STOP]
+            words = [self._of(w) for w in raw]
             inner = range(1, len(words) - 1)
-            slim = [w for i, w in enumerate(words) if i not in inner or len(w) > 3 or w in self.vocabulary]
-            raw = " ".join(w for w in re.findall(r"\w+", folded) if w not in STOP)
-            short = (" ".join(self.brief.get(w, w) for w in ws) for ws in (words, slim))
-            for key in dict.fromkeys((plain, raw, " ".join(slim), *short)):
+            slim = [w for i, w in enumerate(words) if i not in inner or len(w[0]) > 3 or w[2]]
+            plain = " ".join(full for full, _, _ in words)
+            others = [" ".join(raw), " ".join(full for full, _, _ in slim), *(" ".join(short for _, short, _ in ws) for ws in (words, slim))]
+            for key in dict.fromkeys((plain, *others)):
                 if len(key) > 3:
                     keys.append(key)
-                    owner.append((k, sure))
-        if not keys:
-            return out
-        within = np.minimum(np.array([max(MAX_CUT, MAX_EDITS)] * len(keys)), np.array([len(x) // 3 for x in keys]))
+                    within.append(min(max(MAX_CUT, MAX_EDITS), len(key) // 3))
+                    owner.append((k, "plain" if key == plain else "other", words))
         best: dict[int, tuple[int, int, int]] = {}
-        for i, name, d in self.tree.search(keys, within):
-            k, sure = owner[i]
-            same = name.count(" ") == keys[i].count(" ")
-            off = d if d <= MAX_EDITS and same else MAX_EDITS + 1 if name.startswith(keys[i]) else None
-            if off is None:
+        for i, name, d in self.tree.search(keys, np.array(within, dtype=np.int64)):
+            k, kind, words = owner[i]
+            if kind == "acronym":
+                for vid in self.acronyms.get(name, []):
+                    best[k] = min(best.get(k, (99, 99, 0)), (-1, 0, vid))
                 continue
-            for vid in self.names[name]:
-                if all(w in self.words[vid] for w in sure):
-                    best[k] = min(best.get(k, (99, 99, 0)), (off, d, vid))
-        for k, (_, d, vid) in best.items():
-            out[k] = (d, vid)
-        return out
+            cut_off = name.startswith(keys[i])
+            grade = d if d <= MAX_EDITS and name.count(" ") == keys[i].count(" ") and _like(keys[i], name) else MAX_EDITS + 1 if cut_off else None
+            if grade is None:
+                continue
+            must = [] if d == 0 and kind == "plain" else [full for full, _, known in (words[:-1] if cut_off else words) if known]
+            for vid in self.names.get(name, []):
+                if all(w in self.words[vid] for w in must):
+                    best[k] = min(best.get(k, (99, 99, 0)), (grade, d, vid))
+        return [best.get(k, (99, 99, -1)) for k in range(len(values))]
+
+
+def _like(a: str, b: str) -> bool:
+    """Whether the words of two spellings agree in turn: short ones up to one edit or swap, long ones as the whole allows."""
+    return all(x == y or min(len(x), len(y)) >= SHORT_WORD or sorted(x) == sorted(y) or distance(x, y) <= 1 for x, y in zip(a.split(), b.split(), strict=True))
 
 
 _index: dict[str, tuple[VenueIndex, dict[str, int]]] = {}
@@ -154,13 +202,15 @@ def _mapper(entries):
     def venue_id(values: pd.Series) -> pd.Series:
         if token not in _index:
             _index.clear()
-            _index[token] = (VenueIndex(entries.value), {})
+            rows = entries.value
+            words = {w for _, name, abbrev in rows for w in [*split(name), *split(abbrev or "")]}
+            _index[token] = (VenueIndex(rows, learn(rows, words | set(SHORT))), {})
         index, seen = _index[token]
         new = [v for v in values.unique() if v not in seen]
         if len(seen) + len(new) > CACHE:
             seen.clear()
             new = list(values.unique())
-        for v, (_, vid) in zip(new, index.find(new), strict=True):
+        for v, (_, _, vid) in zip(new, index.find(new), strict=True):
             seen[v] = vid
         return values.map(seen)
 
@@ -177,20 +227,32 @@ def map_values(rows: DataFrame, reference: DataFrame, column: str = "venue", max
     return _map_sharded(rows, ref, column)
 
 
+def _with_words(rows: DataFrame, key: str, texts: list[str], lex: DataFrame) -> DataFrame:
+    """``rows`` with ``lex``: what is known of the words in their text columns, no more than the texts hold."""
+    words = rows.select(key, F.explode(F.array_distinct(F.concat(*[_words_udf()(t) for t in texts]))).alias("word"))
+    mine = words.join(lex, "word").groupBy(key).agg(F.collect_list(F.struct("word", "full", "short", "known")).alias("lex"))
+    return rows.join(mine, key, "left")
+
+
 def _map_sharded(rows: DataFrame, ref: DataFrame, column: str) -> DataFrame:
     """The same for a list of any size: values x shards, each pair of a value block and a shard in one group."""
     shards = max(1, -(-ref.count() // SHARD))
     values = cut(rows.select(F.col(column).alias("value")).distinct(), "venue-values")
     blocks = max(1, -(-values.count() // SHARD))
+    texts = values.select(F.col("value").alias("text")).union(ref.select("name")).union(ref.select("abbrev"))
+    words = texts.select(F.explode(_words_udf()("text")).alias("word")).distinct()
+    lex = cut(lexicon(ref, words), "venue-words")
 
     def search(key, block: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        index = VenueIndex([tuple(x) for x in shard[["venue_id", "name", "abbrev"]].itertuples(index=False)])
+        known = {r["word"]: (r["full"], r["short"], r["known"]) for side in (block, shard) for rs in side["lex"] if rs is not None for r in rs}
+        index = VenueIndex([tuple(x) for x in shard[["venue_id", "name", "abbrev"]].itertuples(index=False)], known)
         found = index.find(list(block["value"]))
-        return pd.DataFrame({"value": block["value"], "d": [d for d, _ in found], "venue_id": [v for _, v in found]})
+        return pd.DataFrame({"value": block["value"], **{c: [f[i] for f in found] for i, c in enumerate(("grade", "d", "venue_id"))}})
 
-    left = values.select("value", F.pmod(F.xxhash64("value"), F.lit(blocks).cast("bigint")).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
-    right = ref.select("*", F.pmod(F.xxhash64("venue_id"), F.lit(shards)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("b"))
-    won = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(search, "value string, d int, venue_id int")
-    best = won.groupBy("value").agg(F.min(F.when(F.col("venue_id") >= 0, F.struct("d", "venue_id"))).alias("m"))
-    best = best.select(F.col("value").alias("_value"), F.coalesce("m.venue_id", F.lit(-1)).alias("venue_id"))
+    left = _with_words(values, "value", ["value"], lex).withColumn("b", F.pmod(F.xxhash64("value"), F.lit(blocks).cast("bigint"))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = _with_words(ref, "venue_id", ["name", "abbrev"], lex).withColumn("s", F.pmod(F.xxhash64("venue_id"), F.lit(shards)).cast("int"))
+    right = right.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    won = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(search, "value string, grade int, d int, venue_id int")
+    best = won.groupBy("value").agg(F.min(F.struct("grade", "d", "venue_id")).alias("m"))
+    best = best.select(F.col("value").alias("_value"), F.col("m.venue_id").alias("venue_id"))
     return rows.join(best, rows[column] == best["_value"]).drop("_value")

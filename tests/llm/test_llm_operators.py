@@ -136,6 +136,24 @@ def test_venues(spark, bound, monkeypatch):
     assert got == cases
 
 
+def test_venue_neighbours_are_no_match():
+    ref = [(1, "Journal of Rural Medicine", "J. Rural Med."), (2, "Annals of Team Sport Research", "Ann. Team Sport Res."), (3, "Journal of Cell Biology", "J. Cell Biol."), (4, "Annals of Sport Medicine", "ASM")]
+    index = venues.VenueIndex(ref, venues.learn(ref, {w for _, n, a in ref for w in venues.split(n + " " + a)} | set(venues.SHORT)))
+    cases = {"Journal of Rural Research": -1, "Annals of Team Sport Medicine": -1, "J. Rural Res.": -1, "J. Rurl Med.": 1, "Ann. Team Sport Rse.": 2, "Journal of Cell Bio": 3, "asm 2019": 4, "asn": -1, "": -1}
+    assert {v: f[2] for v, f in zip(cases, index.find(list(cases)), strict=True)} == cases
+
+
+@pytest.mark.parametrize("shard", [31, 72, 108, 215])
+def test_shards_of_any_number_give_the_same(spark, sf, shard, monkeypatch):
+    """7, 3, 2 shards and one against the broadcast list, on all venues of the tables."""
+    monkeypatch.setattr(venues, "SHARD", shard)
+    d = sf.replace("sf0.001", "sf0.01")
+    ref = spark.read.parquet(f"{d}/venue_ref.parquet")
+    rows = spark.read.parquet(f"{d}/source_records.parquet").select("venue").union(spark.read.parquet(f"{d}/bib_entries.parquet").select("venue")).distinct()
+    got = {r.venue: r.venue_id for r in venues.map_values(rows, ref, max_broadcast=1).collect()}
+    assert got == {r.venue: r.venue_id for r in venues.map_values(rows, ref).collect()} and len(got) > 300
+
+
 # ---- names --------------------------------------------------------------------------------------
 
 
