@@ -219,7 +219,7 @@ def test_candidates_with_typing_errors(spark):
     schema = "id string, title string, authors array<string>, year int, venue string, pages string"
     left = [
         row("surname", "Learning about the cahce line through commits", ["Sorigleard, Leila"], 1999), row("bare", "Hydrologcal aspects of permafrost in heatwaves", [], None),
-        row("word", "Learning about cache line commits", ["Sorigleard, Leila"], 1950), row("short", "Collsion reconsidered", ["Tamizor, P."], 1990), row("other", "Another wording", [], None),
+        row("word", "Learning about cache line commits", ["Sorigleard, Leila"], 1950), row("short", "Collsion reconsidered", ["Tamizol, P."], 1990), row("other", "Another wording", [], None),
     ]
     right = [
         row("surname", "Learning about the cache line through commits", ["Sotigleard, Leila"], 1999), row("bare", "Hydrological aspects of permafrost in heatwaves", ["Orlom, P."], 2001),
