@@ -2,15 +2,17 @@
 
 Names are cleaned (LaTeX accents, braces, homonym numbers, titles, case) and parsed into surname and given
 names; which words are given names is learnt from all names written "Surname, Given".  Spellings with the
-same parse form one node.  Nodes are blocked by the phonetic code of the surname (or of the two rarest words of
-an organisation), the code with any one sign left out, and the initial, nicknames included; pairs within a
-block are compared by Jaro-Winkler and edit distance on surnames and words, a nickname table and initials.
+same parse form one node.  Nodes are blocked by the phonetic codes of their sorted tokens: surname and first name,
+nicknames written out, both codes whole and with any one sign left out (of an organisation its two rarest words).
+Names that give initials only are blocked by surname and initial, against all names; as few of them differ within a
+block, no block is quadratic in full names.  Pairs of a block that a bounded edit distance leaves are compared by
+Jaro-Winkler and edit distance on surnames and words, a nickname table and initials.
 Accepted pairs of equally complete nodes are clustered by connected components.  A less complete node
 (no middle initial, a nickname, initials only) joins a cluster only if it fits exactly one, so that "J. Smith" never
 fuses two people.  The result pairs all spellings of a cluster.
 
-Null, blank and placeholder names and markers for omitted authors are no names; repeated names count once;
-an empty table gives an empty result.
+Null, blank and placeholder names and markers for omitted authors are no names; a surname alone is paired only with
+other spellings of it; repeated names count once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.components import connected_components
-from citeloom.runtime import cut
+from citeloom.runtime import cut, drop
 
 #: Least Jaro-Winkler similarity of two surnames or organisation words taken for one with a typing error.
 MIN_JARO_WINKLER = 0.85
@@ -160,10 +163,10 @@ def phonetic(word: str) -> str:
     return out or word[:2]
 
 
-def code_keys(word: str) -> set[str]:
-    """The phonetic code and the code with any one sign left out."""
+def code_keys(word: str, least: int = 3) -> set[str]:
+    """The phonetic code and, if it has ``least`` signs, the code with any one sign left out."""
     code = phonetic(word)
-    return {code} | ({re.sub(r"(.)\1+", r"\1", code[:i] + code[i + 1 :]) for i in range(len(code))} if len(code) > 2 else set())
+    return {code} | ({re.sub(r"(.)\1+", r"\1", code[:i] + code[i + 1 :]) for i in range(len(code))} if len(code) >= least else set())
 
 
 def first_names(token: str) -> set[str]:
@@ -314,36 +317,62 @@ def nodes(names: DataFrame) -> DataFrame:
     return rows.mapInPandas(make, "name string, node string, kind string, core string, given array<string>, level int")
 
 
-def _block_rows(people: DataFrame, rare: DataFrame) -> DataFrame:
-    """``(node, key)`` of all block keys; ``rare`` holds the two rarest words of organisations."""
+def _hash(key: str) -> int:
+    return xxhash.xxh64_intdigest(key) - (1 << 63)
 
-    @F.pandas_udf("array<string>")
-    def keys(core: pd.Series, given: pd.Series) -> pd.Series:
+
+def _full_keys(people: DataFrame, rare: DataFrame) -> DataFrame:
+    """``(id, key)`` of people by the codes of surname and full first name, sorted, and of organisations by those of
+    their two rarest words."""
+
+    @F.pandas_udf("array<bigint>")
+    def token_keys(core: pd.Series, given: pd.Series) -> pd.Series:
         out = []
         for c, g in zip(core, given, strict=True):
-            initials = sorted({n[0] for n in first_names(g[0])})
-            out.append([f"{k}/{i}" for k in code_keys(c) for i in initials])
+            firsts = {k for n in first_names(g[0]) for k in code_keys(n, 1)}  # first names have short codes
+            out.append([_hash(k) for k in sorted({" ".join(sorted((x, y))) for x in code_keys(c) for y in firsts})])
         return pd.Series(out)
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<bigint>")
     def word_keys(words: pd.Series) -> pd.Series:
-        return words.map(lambda ws: sorted({f"o/{k}" for w in ws for k in code_keys(w.rstrip("."))}))
+        return words.map(lambda ws: [_hash(k) for k in sorted({f"o/{k}" for w in ws for k in code_keys(w.rstrip("."))})])
+
+    mine = people.filter(F.length(F.get("given", F.lit(0))) > 1).select("id", F.explode(token_keys("core", "given")).alias("key"))
+    return mine.union(rare.select("id", F.explode(word_keys("words")).alias("key")))
+
+
+def _initial_keys(people: DataFrame) -> DataFrame:
+    """``(id, key, lone)`` of people by the codes of the surname and the initial; ``lone``: they give initials only."""
+
+    @F.pandas_udf("array<bigint>")
+    def keys(core: pd.Series, given: pd.Series) -> pd.Series:
+        return pd.Series([[_hash(f"{k}/{i}") for k in sorted(code_keys(c)) for i in sorted({n[0] for n in first_names(g[0])})] for c, g in zip(core, given, strict=True)])
+
+    return people.select("id", F.explode(keys("core", "given")).alias("key"), (F.length(F.get("given", F.lit(0))) == 1).alias("lone"))
+
 
-    mine = people.select("node", F.explode(keys("core", "given")).alias("key"))
-    return mine.union(rare.select("node", F.explode(word_keys("words")).alias("key"))).distinct()
+def _pairs(people: DataFrame, rare: DataFrame) -> DataFrame:
+    """``(a, b)`` of the pairs that share a key; at least one of a pair from surname and initial gives initials only."""
+    full = cut(_full_keys(people, rare), "names-full")
+    some = cut(_initial_keys(people), "names-initials")
+    side = lambda df, s: df.select(F.col("id").alias(s), "key", *([F.col("lone").alias(f"lone_{s}")] if "lone" in df.columns else []))
+    both = side(full, "a").join(side(full, "b"), "key").filter("a < b").select("a", "b")
+    half = side(some.filter("lone"), "a").join(side(some, "b"), "key").filter("a < b or (not lone_b and a <> b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    out = cut(both.union(half).distinct(), "names-pairs")
+    drop(full, some)
+    return out
 
 
 def clusters(names: DataFrame) -> DataFrame:
     """``(name, cluster)`` of every name that shares a cluster with another."""
     all_names = cut(nodes(names), "names")
-    forms = cut(all_names.select("node", "kind", "core", "given", "level").dropDuplicates(["node"]).filter("level >= 0"), "forms")
-    orgs = forms.filter("kind = 'o'").select("node", F.explode(F.split("core", " ")).alias("word"))
+    forms = cut(all_names.select("node", "kind", "core", "given", "level").dropDuplicates(["node"]).withColumn("id", F.xxhash64("node")), "forms")
+    orgs = forms.filter("kind = 'o'").select("id", F.explode(F.split("core", " ")).alias("word"))
     df = orgs.groupBy("word").agg(F.count("*").alias("n"))
-    rare = orgs.join(df, "word").groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "word"))), 1, 2)["word"].alias("words"))
-    blocks = cut(_block_rows(forms.filter("kind = 'p'"), rare), "blocks")
-    pairs = blocks.alias("a").join(blocks.alias("b"), "key").filter("a.node < b.node").select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    often = forms.groupBy("kind", "core").agg(F.count("*").alias("n_core"))
-    firsts = forms.groupBy(F.get("given", F.lit(0)).alias("first")).agg(F.count("*").alias("n_first"))
+    rare = orgs.join(df, "word").groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "word"))), 1, 2)["word"].alias("words"))
+    pairs = _pairs(forms.filter("kind = 'p' and level >= 0"), rare)
+    often = forms.filter("level >= 0").groupBy("kind", "core").agg(F.count("*").alias("n_core"))
+    firsts = forms.filter("level >= 0").groupBy(F.get("given", F.lit(0)).alias("first")).agg(F.count("*").alias("n_first"))
     known = forms.withColumn("first", F.get("given", F.lit(0))).join(often, ["kind", "core"]).join(firsts, "first", "left")
 
     @F.pandas_udf("boolean")
@@ -359,13 +388,18 @@ def clusters(names: DataFrame) -> DataFrame:
 
     def side(s: str) -> DataFrame:
         row = F.struct("kind", "core", "given", "n_core", F.coalesce("n_first", F.lit(0)).alias("n_first"))
-        return known.select(F.col("node").alias(f"node_{s}"), F.col("kind").alias(f"kind_{s}"), F.col("level").alias(f"level_{s}"), row.alias(f"row_{s}"))
+        return known.select(F.col("id").alias(s), F.col("node").alias(f"node_{s}"), F.col("level").alias(f"level_{s}"), row.alias(f"row_{s}"))
 
-    full = pairs.join(side("a"), pairs["a"] == F.col("node_a")).join(side("b"), pairs["b"] == F.col("node_b")).filter("kind_a = kind_b")
+    # one edit or swap is at most two edits; only words of which one can be an error of the other are compared further
+    less, more = F.least("row_a.n_core", "row_b.n_core"), F.greatest("row_a.n_core", "row_b.n_core")
+    close = ((less <= RARE) | (less * OFTEN <= more)) & (F.levenshtein(F.col("row_a.core"), F.col("row_b.core"), 2) >= 0)
+    same = (F.col("row_a.core") == F.col("row_b.core")) | (F.col("row_a.kind") == "o") | close
+    full = pairs.join(side("a"), "a").join(side("b"), "b").filter("row_a.kind = row_b.kind").filter(same)
     accepted = cut(
         full.filter(agree("row_a", "row_b")).select("node_a", "node_b", "level_a", "level_b", F.expr("get(row_a.given, 0) <=> get(row_b.given, 0)").alias("same_first")),
         "accepted",
     )
+    drop(pairs)
     # two nicknames may stand for different names
     level_edges = accepted.filter((F.col("level_a") == F.col("level_b")) & ((F.col("level_a") != NICKNAME) | F.col("same_first")))
     found = connected_components(level_edges, "node_a", "node_b")
@@ -380,6 +414,7 @@ def clusters(names: DataFrame) -> DataFrame:
     )
     for lower, uppers in ((FIRST, [FULL]), (NICKNAME, [FIRST, FULL]), (INITIALS, [FULL]), (INITIALS, [NICKNAME, FIRST]), (INITIAL, [INITIALS, NICKNAME, FIRST, FULL])):
         labels = _attach(labels, both.filter((F.col("from_level") == lower) & F.col("to_level").isin(uppers)))
+    drop(accepted, forms)
     members = all_names.join(labels.select("node", "label"), "node").select("name", F.col("label").alias("cluster"))
     return members
 
@@ -392,7 +427,9 @@ def _attach(labels: DataFrame, edges: DataFrame) -> DataFrame:
     ).filter("mine <> theirs")
     one = ends.groupBy("mine").agg(F.min("theirs").alias("least"), F.max("theirs").alias("most")).filter("least = most")
     moved = labels.join(one.select(F.col("mine").alias("label"), F.col("least").alias("new")), "label", "left")
-    return cut(moved.select("node", "level", F.coalesce("new", "label").alias("label")), "labels")
+    out = cut(moved.select("node", "level", F.coalesce("new", "label").alias("label")), "labels")
+    drop(labels)
+    return out
 
 
 def variant_pairs(members: DataFrame) -> DataFrame:
