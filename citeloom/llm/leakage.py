@@ -1,18 +1,22 @@
 """Evaluation texts leaking into training text (problem 9): suffix arrays over the training corpus.
 
-Training documents are taken in shards of about SHARD_CHARS characters.  Its texts become token ids (markup, citation marks,
-line-end hyphens, look-alike letters, case and punctuation removed first), and its suffixes are sorted.
-Every suffix of the test items is binary-searched in that array; the neighbours of the hit give all
-locations.  Only positions that start a specific word triple of some test item enter the array; sentences
-with too few of those are looked up whole, by their first triple.
-
-Exact check: a test sentence is present where at least SHARE of its specific word triples (those in at most
-SPECIFIC test items) are matched close together, which typos, inserted marks and changed words survive and
-shared phrases do not reach.  A sentence with fewer than LEAST specific triples (shared or stock wording) is present where all its tokens stand in a row right before or after its neighbour's.  An item leaks if
-two consecutive sentences of it are present (a one-sentence item: that sentence at ALONE, or whole if it has too
-few specific triples).  The longest verbatim match is measured on every diagonal of hits over the whole item.  Longer test sets than MAX_TOKENS are searched in blocks.
-
-Null and empty texts match nothing; repeated documents are reported each; the result has distinct rows.
+Training documents are taken in shards of about SHARD_CHARS characters.  Their texts become token ids (markup,
+citation marks, line-end hyphens, look-alike letters, case and punctuation removed first; scripts without blanks by
+the letter), and their suffixes are sorted.  Every suffix of the test items is binary-searched in that array; the
+neighbours of the hit give all locations.  Only positions that start a specific word triple enter the array: one that
+at most SPECIFIC different test sentences hold, however many items repeat those.  Sentences with too few of them are
+looked up whole, by their first triple.
+
+Exact check: a test sentence is present where at least SHARE of its specific word triples are matched close together,
+which typos, inserted marks and changed words survive and shared phrases do not reach.  A sentence with fewer than
+LEAST specific triples (made of shared wording) is present where all its tokens stand in a row right before or after
+its neighbour's.  An item leaks if two consecutive sentences of it are present (where one of them stands in more than
+SPECIFIC items, they must be neighbours in the document too); a one-sentence item if that sentence is at ALONE, or
+whole if it has too few specific triples.  The longest verbatim match is measured on every diagonal of hits over the
+whole item.  Longer test sets than MAX_TOKENS are searched in blocks, with the same result.
+
+Null and empty texts match nothing, nor do items of one or two tokens; repeated documents are reported each; the
+result has distinct rows.
 """
 
 from __future__ import annotations
@@ -32,12 +36,14 @@ from citeloom.runtime import cut
 
 #: Tokens of test text that are broadcast at once.
 MAX_TOKENS = 2_000_000
-#: A triple is specific if at most so many test items hold it.
+#: A triple is specific if at most so many different test sentences hold it; a sentence in more items than that is stock.
 SPECIFIC = 2
 SHARE = 0.35
 ALONE = 0.6
 #: Tokens (page numbers, marks) that may stand between a sentence and the exact one beside it.
 SLACK = 3
+#: Tokens, besides a quarter of its length, that a stock sentence may be away from where its neighbour puts it.
+DRIFT = 6
 #: Least number of specific triples that can prove a sentence, and tokens compared when suffixes are sorted.
 LEAST = 4
 DEPTH = 64
@@ -53,8 +59,9 @@ _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _HYPHEN = re.compile(r"(\w)-[ \t]*\n[>\s]*(\w)")
 _INLINE = re.compile(r"</?(?:i|b|em|strong|span|u|a|sub|sup|mark|code|font|scp|jats:\w+|mml:\w+)\b[^<>]{0,200}>", re.I)
 _TAG = re.compile(r"<[!/]?[A-Za-z][^<>]{0,200}>|&(?:nbsp|#160);|\[\d{1,4}(?:[,–-]\s*\d{1,4})*\]|\\[A-Za-z]+\*?")
-_TOKEN = re.compile(r"[^\W_]+")
-_SENTENCE = re.compile(r"(?<=[.?!])[\"')\]]*\s+(?=\S)")
+_UNSPACED = "\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"  # Thai, Lao, Khmer, kana, Han
+_TOKEN = re.compile(f"[{_UNSPACED}]|[^\\W_{_UNSPACED}]+")
+_SENTENCE = re.compile(r"(?<=[.?!])[\"')\]]*\s+(?=\S)|(?<=[。！？])\s*(?=\S)")
 
 
 def tokens(text: str) -> list[str]:
@@ -88,12 +95,14 @@ class TestSet:
     item_ids: list[int]
     start: np.ndarray  # first position of each sentence, and the end
     blind: dict[int, list[int]]  # first triple -> sentences that specific triples can't prove
+    stock: np.ndarray  # whether a sentence stands in more than SPECIFIC items
 
 
-def prepare(items: list[tuple[int, str]], shared: set[tuple[str, str, str]] | None = None) -> TestSet:
-    """Index the test items ``(item_id, text)``; ``shared``: triples that are not specific, if counted elsewhere."""
+def prepare(items: list[tuple[int, str]], shared: set[tuple[str, str, str]] | None = None, stock: set[str] | None = None) -> TestSet:
+    """Index the test items ``(item_id, text)``; ``shared``: triples that are not specific, and ``stock``: sentences in
+    many items (as joined tokens), if counted elsewhere."""
     vocabulary: dict[str, int] = {}
-    ids, item, sentence, length, item_of = [], [], [], [], []
+    ids, item, sentence, length, item_of, wording = [], [], [], [], [], []
     for row, (_, text) in enumerate(items):
         for part in _SENTENCE.split(text or ""):
             words = tokens(part)
@@ -104,13 +113,18 @@ def prepare(items: list[tuple[int, str]], shared: set[tuple[str, str, str]] | No
             sentence.extend([len(length)] * len(words))
             length.append(len(words))
             item_of.append(row)
+            wording.append(" ".join(words))
     n = len(ids)
     a, it, se = np.array(ids, dtype=np.int64), np.array(item, dtype=np.int64), np.array(sentence, dtype=np.int64)
     keys = np.full(n, -1, dtype=np.int64)
     if n > 2:
         same = se[2:] == se[:-2]
         keys[:-2] = np.where(same, _triples(a), -1)
-    holders = pd.DataFrame({"k": keys, "i": it}).query("k >= 0").drop_duplicates().groupby("k").size()
+    which = {w: k for k, w in enumerate(dict.fromkeys(wording))}
+    holders = pd.DataFrame({"k": keys, "i": np.array([which[w] for w in wording], dtype=np.int64)[se] if n else se}).query("k >= 0").drop_duplicates().groupby("k").size()
+    if stock is None:
+        in_items = pd.DataFrame({"w": wording, "i": item_of}).drop_duplicates().groupby("w").size()
+        stock = set(in_items[in_items > SPECIFIC].index)
     rare = np.sort(holders[holders <= SPECIFIC].index.to_numpy(dtype=np.int64))
     if shared is not None:
         known = [[vocabulary.get(w, 0) for w in t] for t in shared]
@@ -124,13 +138,13 @@ def prepare(items: list[tuple[int, str]], shared: set[tuple[str, str, str]] | No
     return TestSet(
         vocabulary, a, it, se, specific, rare, n_specific,
         np.array(length, dtype=np.int64), np.array(item_of, dtype=np.int64), [i for i, _ in items], start, blind,
+        np.array([w in stock for w in wording], dtype=bool),
     )
 
 
-def item_triples(text: str) -> set[tuple[str, str, str]]:
-    """Word triples within the sentences of a test item."""
-    sentences = [tokens(part) for part in _SENTENCE.split(text or "")]
-    return {t for w in sentences for t in zip(w, w[1:], w[2:], strict=False)}
+def sentences_of(text: str) -> list[str]:
+    """Sentences of a test item as joined tokens, those without any left out."""
+    return [" ".join(w) for part in _SENTENCE.split(text or "") if (w := tokens(part))]
 
 
 def _triples(ids: np.ndarray) -> np.ndarray:
@@ -166,7 +180,7 @@ class SuffixArray:
 
 
 def _windows(ids: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    padded = np.concatenate([np.maximum(ids, 0), np.zeros(DEPTH, dtype=np.int64)])
+    padded = np.concatenate([np.maximum(ids, 0), np.zeros(DEPTH, dtype=np.int64)]).astype(np.uint32)
     return padded[positions[:, None] + np.arange(DEPTH)[None, :]]
 
 
@@ -217,13 +231,13 @@ def find_in_shard(texts: list[str], test: TestSet, test_windows: np.ndarray, tes
                 if np.array_equal(ids[p : p + test.length[s]], test.ids[test.start[s] : test.start[s + 1]]):
                     blind.setdefault((d, int(test.item_of[s])), {}).setdefault(s, []).append(int(p))
     sentences = np.bincount(test.item_of, minlength=len(test.item_ids))
-    usable = np.bincount(test.item_of[test.n_specific >= LEAST], minlength=len(test.item_ids))
+    usable = np.bincount(test.item_of[(test.n_specific >= LEAST) & ~test.stock], minlength=len(test.item_ids))
     first = np.searchsorted(test.item_of, np.arange(len(test.item_ids) + 1))
     out = []
     for d, i in sorted(present.keys() | blind.keys()):
         found, exact = present.get((d, i), {}), blind.get((d, i), {})
         where = {s: list(spans) for s, (_, spans) in found.items()}
-        pair = any(s + 1 in found for s in found)
+        pair = any(s + 1 in found and (not (test.stock[s] or test.stock[s + 1]) or _neighbours(where[s], where[s + 1])) for s in found)
         seen, joined = set(found), set()
         end = int(starts[d + 1]) if d + 1 < len(starts) else len(ids)
         for order, step in ((range(first[i], first[i + 1]), -1), (range(first[i + 1] - 1, first[i] - 1, -1), 1)):
@@ -244,7 +258,7 @@ def find_in_shard(texts: list[str], test: TestSet, test_windows: np.ndarray, tes
                     seen |= {s, s + step}
                     where.setdefault(s, []).extend((p, p + size) for p in near)
         pair |= any(s + 1 < first[i + 1] and s + 1 in where for s in joined)
-        one = usable[i] == 1 and any(r >= ALONE for r, _ in found.values())
+        one = any(r >= ALONE and (sentences[i] == 1 or (usable[i] == 1 and not test.stock[s])) for s, (r, _) in found.items())
         if pair or one or (sentences[i] == 1 and exact):
             seen |= exact.keys() if sentences[i] == 1 else set()
             lined = [diagonals.get((d, i), np.zeros(0, dtype=np.int64)), *(np.array([p - test.start[s] for p in ps]) for s, ps in exact.items())]
@@ -254,6 +268,11 @@ def find_in_shard(texts: list[str], test: TestSet, test_windows: np.ndarray, tes
     return out
 
 
+def _neighbours(first: list[tuple[int, int]], second: list[tuple[int, int]]) -> bool:
+    """Whether some place of a sentence ends about where one of the next begins."""
+    return any(abs(begin - end) <= DRIFT + max(end - start, stop - begin) // 4 for start, end in first for begin, stop in second)
+
+
 def _longest(ids: np.ndarray, shift: int, test_ids: np.ndarray, begin: int, end: int) -> int:
     """Longest run of equal tokens of a document and of test positions ``begin`` to ``end``, laid ``shift`` apart."""
     begin, end = max(begin, -shift), min(end, len(ids) - shift)
@@ -285,33 +304,38 @@ def find_leaks(documents: DataFrame, items: DataFrame, max_tokens: int = MAX_TOK
     rows = items.select("item_id", "text").filter("item_id is not null and trim(text) <> ''").distinct()
     total = rows.agg(F.sum(F.length("text") / 5)).first()[0] or 0
     blocks = max(1, int(-(-total // max_tokens)))
-    found, shared = None, None
-    if blocks > 1:  # triples are counted over all items, not in each block
-        shared = cut(_shared_triples(rows), "leak-triples")
+    found, shared, stock = None, None, None
+    if blocks > 1:  # triples and sentences are counted over all items, not in each block
+        said = cut(_sentence_rows(rows), "leak-sentences")
+        shared = cut(_triple_rows(said).groupBy("triple").agg(F.countDistinct("sentence").alias("n")).filter(F.col("n") > SPECIFIC).select("triple"), "leak-triples")
+        stock = cut(said.groupBy("sentence").agg(F.countDistinct("item").alias("n")).filter(F.col("n") > SPECIFIC).select("sentence"), "leak-stock")
     for b in range(blocks):
         part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        common = None
-        if shared is not None:
-            mine = _triple_rows(part).select("triple").distinct()
-            common = {tuple(r.triple) for r in shared.join(mine, "triple", "left_semi").collect()}  # no more than the block has
-        one = _find_block(documents, sorted(map(tuple, part.collect())), common)
+        common, often = None, None
+        if shared is not None:  # no more of either than the block has
+            mine = _sentence_rows(part)
+            common = {tuple(r.triple) for r in shared.join(_triple_rows(mine).select("triple").distinct(), "triple", "left_semi").collect()}
+            often = {r.sentence for r in stock.join(mine.select("sentence").distinct(), "sentence", "left_semi").collect()}
+        one = _find_block(documents, sorted(map(tuple, part.collect())), common, often)
         found = one if found is None else found.union(one)
     return found.distinct()
 
 
-def _triple_rows(items: DataFrame) -> DataFrame:
-    """``(item, triple)`` of every word triple within a sentence."""
-    udf = F.udf(lambda t: [list(x) for x in item_triples(t)], "array<array<string>>")
-    return items.select(F.xxhash64("item_id", "text").alias("item"), F.explode(udf("text")).alias("triple"))
+def _sentence_rows(items: DataFrame) -> DataFrame:
+    """``(item, sentence)`` of every sentence of every item, as joined tokens."""
+    udf = F.udf(sentences_of, "array<string>")
+    return items.select(F.xxhash64("item_id", "text").alias("item"), F.explode(udf("text")).alias("sentence"))
 
 
-def _shared_triples(items: DataFrame) -> DataFrame:
-    """The triples that more than SPECIFIC items hold."""
-    return _triple_rows(items).groupBy("triple").agg(F.countDistinct("item").alias("n")).filter(F.col("n") > SPECIFIC).select("triple")
+def _triple_rows(sentences: DataFrame) -> DataFrame:
+    """``(sentence, triple)`` of every word triple of the different sentences."""
+    words = F.split("sentence", " ")
+    triples = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.slice(words, i, F.lit(3)))
+    return sentences.select("sentence").distinct().filter(F.size(words) > 2).select("sentence", F.explode(triples).alias("triple"))
 
 
-def _find_block(documents: DataFrame, items: list[tuple[int, str]], common: set[tuple[str, str, str]] | None = None) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast((items, common))
+def _find_block(documents: DataFrame, items: list[tuple[int, str]], common: set[tuple[str, str, str]] | None = None, stock: set[str] | None = None) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast((items, common, stock))
     token = uuid.uuid4().hex
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -180,6 +180,13 @@ def test_name_clusters(spark):
     assert got == want
 
 
+def test_surname_alone_and_typing_errors_in_both_names(spark):
+    rows = ["Quaethoring", "QUAETHORING", "Mirela Zanighiock", "Mirela Zanighiock-", "Zanighiock, Mirrela", "Mirela Zanihiock", "Zanighiock, M."]
+    got = {(r.name_a, r.name_b) for r in names.variant_pairs(names.clusters(spark.createDataFrame([(n,) for n in rows], "name string"))).collect()}
+    people = sorted(rows[2:])
+    assert got == {("QUAETHORING", "Quaethoring")} | {(a, b) for a in people for b in people if a < b}
+
+
 def test_ambiguous_initials_join_nobody(spark):
     df = spark.createDataFrame([(n,) for n in ["Michael Quaethoring", "Mirela Quaethoring", "M. Quaethoring", "Quaethoring, Michael"]], "name string")
     assert {(r.name_a, r.name_b) for r in names.variant_pairs(names.clusters(df)).collect()} == {("Michael Quaethoring", "Quaethoring, Michael")}
@@ -205,7 +212,7 @@ def test_label_model_learns_accuracies():
     rng = np.random.default_rng(0)
     truth = rng.random(6000) < 0.4
     m = len(linkage.VOTERS)
-    good = rng.random((6000, m)) < np.array([0.95, 0.9, 0.85, 0.97, 0.95, 0.9, 0.8, 0.85, 0.7, 0.7])
+    good = rng.random((6000, m)) < np.array([0.95, 0.9, 0.85, 0.95, 0.9, 0.8, 0.85, 0.7, 0.7])
     votes = np.where(good == truth[:, None], 2, 0)
     votes[rng.random((6000, m)) < 0.2] = 1
     patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
@@ -240,8 +247,8 @@ def test_candidates_against_all_pairs(spark, sf):
     a, b = linkage.featurize(e, common, False).cache(), linkage.featurize(r, common, True).cache()
     found = {(x.id_l, x.id_r) for x in linkage.candidates(a, b).collect()}
     side = lambda df, s: df.select(F.col("id").alias(f"id_{s}"), F.struct(*[c for c in df.columns if c not in ("id", "keys")]).alias(s))
-    votes = side(a, "l").crossJoin(side(b, "r")).select("id_l", "id_r", *[v.alias(k) for k, v in linkage._votes().items()])
-    sure = votes.filter("words = 2 and main = 2 and marker = 2 and authors = 2 and year = 2").select("id_l", "id_r").collect()
+    votes = side(a, "l").crossJoin(side(b, "r")).select("id_l", "id_r", (F.col("l.marker") == F.col("r.marker")).alias("same_marker"), *[v.alias(k) for k, v in linkage._votes().items()])
+    sure = votes.filter("same_marker and words = 2 and main = 2 and authors = 2 and year = 2").select("id_l", "id_r").collect()
     assert len(sure) > 200 and sum((x.id_l, x.id_r) in found for x in sure) / len(sure) > 0.995
 
 
@@ -441,6 +448,29 @@ def test_leaks_of_shared_sentences_and_full_length(spark):
     assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, t, max_tokens=100).collect()} == want  # in blocks
 
 
+def leaks_of(items, docs):
+    t = leakage.prepare(items)
+    at = np.flatnonzero(t.specific)
+    return {(d, i) for d, i, *_ in leakage.find_in_shard(docs, t, leakage._windows(t.ids, at), at)}
+
+
+def test_leaks_of_repeated_short_and_unspaced_items():
+    passage = "The old lighthouse keeper painted seven green boats before winter came. His daughter sold every single one at the market in Dunmore."
+    assert leaks_of([(i, passage) for i in range(3)], ["x y. " + passage + " more", passage.replace("seven", "sevn").replace("single", "sinlge"), "nothing"]) == {(d, i) for d in (0, 1) for i in range(3)}
+    short = "Who wrote Hamlet? William Shakespeare wrote it. He lived in England. He died in 1616."
+    assert leaks_of([(1, short)], ["So: " + short + " Yes.", "He lived in England."]) == {(0, 1)}
+    han = "北京是中国的首都，也是政治中心。它有三千多年的历史，人口超过两千万。"
+    assert leaks_of([(1, han)], ["前言。" + han + "后记", "上海是中国最大的城市。"]) == {(0, 1)}
+
+
+def test_stock_beside_a_quoted_sentence_is_no_leak():
+    items, _ = make_items()
+    stock = "The usual caveats about small samples and short horizons apply to every table of this note."
+    texts = [(i, s[0] + " " + stock + " " + " ".join(s[1:])) for i, _, s in items[:6]]
+    filler = "The market of labour responds to the enzyme within steps when the glacier is cold. " * 4
+    assert leaks_of(texts, [stock + filler + items[0][2][0], items[0][2][0] + " " + stock]) == {(1, 100)}
+
+
 def test_suffix_array_against_brute_force():
     rng = np.random.default_rng(4)
     text, query = rng.integers(1, 5, 400), rng.integers(1, 5, 60)
