@@ -102,6 +102,39 @@ def candidate_questions(assessed: DataFrame) -> DataFrame:
     return assessed.select("entry_id", "ord", p.alias("prompt"))
 
 
+def relation_questions(ambiguous: DataFrame) -> DataFrame:
+    """One question per ambiguous pair of accepted records: rows (entry_id, a, b, ra, rb) with record structs."""
+    parts = {f"{k}_{s}": F.array_join(F.col(f"r{s}")[k], "; ") if k == "authors" else F.col(f"r{s}")[k] for s in ("a", "b") for k in ("title", "authors", "year", "venue", "pages")}
+    return ambiguous.select("entry_id", "a", "b", prompt("same_work", **parts).alias("prompt"))
+
+
+def page_questions(pages: DataFrame) -> DataFrame:
+    """One question per cited page whose title does not settle it: rows (entry_id, title, authors, page_title, page_text)."""
+    asked = prompt("web_match", cited_title=F.col("title"), cited_authors=F.array_join("authors", "; "), page_title=F.col("page_title"), page_text=F.col("page_text"))
+    return pages.select("entry_id", asked.alias("prompt"))
+
+
+def rulings(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """Yes/no answers as (keys, answer boolean, confidence, error)."""
+    return answers.select(*keys, (F.col("answer")["answer"] == "yes").alias("answer"), F.col("answer")["confidence"].alias("confidence"), "error")
+
+
+def confirmed_pairs(answers: DataFrame) -> DataFrame:
+    """``(entry, a, b)`` of the pairs ruled the same work or a version of it with confidence."""
+    a = F.col("answer")
+    return answers.filter(a["relation"].isin("same", "version") & a["confidence"].isin("high", "medium")).select(F.col("entry_id").alias("entry"), "a", "b")
+
+
+def judgments(answers: DataFrame) -> DataFrame:
+    """``(entry_id, field, kind, confidence)`` of the well-formed answers to field questions."""
+    return answers.filter("answer is not null").select("entry_id", "field", F.col("answer")["kind"].alias("kind"), F.col("answer")["confidence"].alias("confidence"))
+
+
+def statuses(answers: DataFrame) -> DataFrame:
+    """``(entry_id, ordinal, status, error)`` of the answers to alignment questions."""
+    return answers.select("entry_id", "ordinal", F.col("answer")["status"].alias("status"), "error")
+
+
 def field_questions(findings: DataFrame) -> DataFrame:
     asked = findings.filter("status = 'needs_llm'")
     return asked.select("entry_id", "field", prompt("field_check", field=F.col("field"), cited=F.col("bib_value"), canonical=F.col("canonical_value")).alias("prompt"))

@@ -12,15 +12,40 @@ WORKS, EDITIONS = 6, 50
 
 
 def dedup_editions(editions: DataFrame, order: str = "ord") -> DataFrame:
-    """One edition per first of ISBN, native id, year and publisher; at most EDITIONS per work, WORKS works
-    per entry, as the search interfaces return them."""
+    """One edition per first of ISBN, native id, year and publisher."""
     key = F.coalesce(F.col("ids")["isbn13"], F.nullif("source_native_id", F.lit("")), F.concat_ws("|", F.col("year").cast("string"), "publisher"))
     first = editions.withColumn("_k", key).withColumn("_n", F.row_number().over(Window.partitionBy("entry_id", "_k").orderBy(order))).filter("_n = 1")
     return first.drop("_k", "_n")
 
 
-def within_limits(works: DataFrame, k: int = WORKS, by: tuple[str, ...] = ("entry_id",), order: str = "ord") -> DataFrame:
-    return works.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order))).filter(F.col("_n") <= k).drop("_n")
+def within_limits(rows: DataFrame, k: int, by: list[str], order: str = "ord") -> DataFrame:
+    """The first k rows of every group."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order))).filter(F.col("_n") <= k).drop("_n")
+
+
+def title_compatible(a: Column, b: Column) -> Column:
+    """Whether a work found by title can be the cited book: one folded title holds the other."""
+    x, y = text.fold(a), text.fold(b)
+    return (x != "") & (y != "") & (x.contains(y) | y.contains(x))
+
+
+def works_of(entries: DataFrame, works: DataFrame) -> DataFrame:
+    """``(entry_id, work, ord)``: the works of every book, those found by ISBN first, then those found by title
+    that pass the title gate; each once, WORKS at most.  works(entry_id, work, title, by_isbn, ord)."""
+    books = entries.filter(F.col("entry_type").isin("book", "incollection")).select("entry_id", F.col("title").alias("_t"))
+    ok = books.join(works, "entry_id").filter((F.trim("work") != "") & (F.col("by_isbn") | title_compatible(F.col("_t"), F.col("title"))))
+    one = ok.groupBy("entry_id", "work").agg(F.min(F.struct((~F.col("by_isbn")).alias("s"), "ord")).alias("ord"))
+    kept = within_limits(one, WORKS, ["entry_id"])
+    return kept.select("entry_id", "work", F.col("ord.ord").alias("ord"))
+
+
+def editions_of(works: DataFrame, editions: DataFrame) -> DataFrame:
+    """Editions of the works of every book, EDITIONS per work at most, each edition once per entry.
+
+    editions(work, ids, source_native_id, year, publisher, ord)."""
+    few = within_limits(editions, EDITIONS, ["work"])
+    joined = works.select("entry_id", "work", F.col("ord").alias("work_ord")).join(few, "work")
+    return dedup_editions(joined.withColumn("ord", F.col("work_ord") * (EDITIONS + 1) + F.col("ord")).drop("work_ord"))
 
 
 def match_cited_edition(entries: DataFrame, editions: DataFrame) -> DataFrame:

@@ -26,9 +26,9 @@ BY_DEFAULT = ["crossref", "openalex", "semantic_scholar", "dblp"]
 
 
 def latest_delivery(df: DataFrame, key: str) -> DataFrame:
-    """One row per key: redelivered rows differ in loaded_at only, the latest is kept."""
-    names = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*names), "loaded_at").alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in names])
+    """One row per key, without ``loaded_at``, in which alone redelivered rows differ; only the columns a plan
+    reads are shuffled."""
+    return df.drop("loaded_at").dropDuplicates([key])
 
 
 def mark_cited(entries: DataFrame, keys: DataFrame, on: list[str], star: bool = False) -> DataFrame:

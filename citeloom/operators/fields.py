@@ -121,11 +121,27 @@ def field_findings(entries: DataFrame, canonical: DataFrame, skip_book_fields: b
     return both.select("entry_id", "pos", "field", "bib_value", "canonical_value", "sources", status.alias("status"))
 
 
+def edition_findings(entries: DataFrame, matched: DataFrame) -> DataFrame:
+    """``(entry_id, field, bib_value, canonical_value, status)``: year and publisher of a book against the edition
+    it cites, so that a later reprint is no error.  matched(entry_id, edition_year, edition_publisher)."""
+    books = entries.filter(F.col("entry_type").isin("book", "incollection")).select("entry_id", "year", "publisher").join(matched, "entry_id")
+    blank = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    rows = books.select("entry_id", F.explode(F.array(
+        F.struct(F.lit("year").alias("field"), blank(F.col("year")).alias("bib_value"), blank(F.col("edition_year")).alias("canonical_value")),
+        F.struct(F.lit("publisher").alias("field"), blank(F.col("publisher")).alias("bib_value"), blank(F.col("edition_publisher")).alias("canonical_value")),
+    )).alias("c")).select("entry_id", "c.*").filter("bib_value <> ''")
+    rows = prepare(rows, "bib_value", "canonical_value")
+    b, c = F.col("bib_value"), F.col("canonical_value")
+    by_year = year_check(b.try_cast("int"), c.try_cast("int"), F.lit(None).cast("int"), F.lit(True))
+    status = F.when(F.col("field") == "year", by_year).otherwise(publisher_check(b, c, F.lit(True)))
+    return rows.select("entry_id", "field", "bib_value", "canonical_value", status.alias("status"))
+
+
 def apply_judgments(findings: DataFrame, judgments: DataFrame | None = None) -> DataFrame:
     """Findings with ``needs_llm`` ruled: a confident variant is formatting, a confident error an error;
     anything else, and everything without a ruling, is uncertain.
 
-    judgments(entry_id, field, kind in variant/error/unclear, confidence in high/medium/low).
+    judgments(entry_id, field, kind in variant/error/uncertain, confidence in high/medium/low).
     """
     if judgments is None:
         return findings.withColumn("status", F.when(F.col("status") == "needs_llm", "uncertain").otherwise(F.col("status"))).withColumn("via_llm", F.lit(False))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import identifiers as ids
@@ -30,9 +30,8 @@ FIELD_PRIORITY = {
 ID_FIELDS = ["doi", "arxiv_id", "isbn13", "pmid", "bibcode", "openalex", "google_books", "url"]
 
 
-def number_records(records: DataFrame, entry: str = "entry_id", by: tuple[str, ...] = ("record_id",)) -> DataFrame:
-    """Records with ``ord``, their position among the candidates of their entry."""
-    return records.withColumn("ord", F.row_number().over(Window.partitionBy(entry).orderBy(*by)) - 1)
+#: Added to the place of a record that answers a search, so that answers to an identifier come first.
+SEARCHED = 1 << 62
 
 
 def id_edges(records: DataFrame, entry: str = "entry_id") -> DataFrame:

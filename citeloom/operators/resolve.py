@@ -39,6 +39,13 @@ def web_verdict(page: Column) -> Column:
     )
 
 
+def page_artifacts(pages: DataFrame) -> DataFrame:
+    """``(entry_id, kind, n_artifacts, source, title, url)``: a confirmed page is the one artifact of its entry.
+
+    pages(entry_id, web, title, url), ``web`` as given by :func:`web_verdict`."""
+    return pages.filter("web = 'exactly_one'").select("entry_id", F.col("web").alias("kind"), F.lit(1).alias("n_artifacts"), F.lit("web").alias("source"), "title", "url")
+
+
 def override(rows: DataFrame) -> DataFrame:
     """Final verdict from generic, web, pinned and book evidence; later evidence wins.
 
@@ -155,6 +162,14 @@ def stale_pages(cache: DataFrame) -> DataFrame:
     return cache.filter((F.col("source") == "web") & ~F.coalesce(F.get_json_object("payload", "$.dead").cast("boolean"), F.lit(False)) & F.get_json_object("payload", "$.render").isNull())
 
 
+def cleared(cache: DataFrame, sources: list[str] | None = None, before=None) -> DataFrame:
+    """The cache without the answers of the given sources (all if None) fetched before a time (any if None)."""
+    gone = F.lit(True) if sources is None else F.coalesce(F.col("source").isin(sources), F.lit(False))
+    if before is not None:
+        gone = gone & F.coalesce(F.col("fetched_at") < F.lit(before), F.lit(True))
+    return cache.filter(~gone)
+
+
 def merge_cache(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows replace old ones of the same key."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeloom.plans import pipelines, reference
+from citeloom.plans import details, pipelines, reference  # noqa: F401  (details adds to reference.QUERIES)
 
 flagship = reference.flagship
 QUERIES = {**reference.QUERIES, **pipelines.QUERIES}

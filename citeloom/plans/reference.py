@@ -13,7 +13,7 @@ from citeloom.functions import identifiers as ids
 from citeloom.functions import similarity as sim
 from citeloom.functions import text
 from citeloom.operators import books, entries, fields, pool, resolve, score
-from citeloom.plans import audit
+from citeloom.plans import audit, fuzzy_sql
 from citeloom.runtime import cut, table
 from citeloom.sources import bibtex, connectors, html, latex, payloads
 
@@ -53,16 +53,24 @@ def id_doi(spark, d):
     return links(spark, d).select("record_id", "link", ids.doi("link").alias("doi"))
 
 
-_MARKED = "(?i)(?:arxiv[._:/]|abs/)\\s*/?([a-z-]*(?:\\.[A-Z]{2})?/?[0-9]{4}\\.[0-9]{4,5}(?:v[0-9]+)?)"
+def _found_arxiv(x: str) -> str:
+    """SQL for the first preprint id in a text."""
+    bare = "regexp_replace(regexp_replace(regexp_replace(p, '(?i)^arxiv\\.', ''), '^\\.+|(\\.pdf)?\\.*$', '', 'g'), 'v[0-9]+$', '')"
+    pieces = f"list_transform(regexp_split_to_array({x}, '{ids.BETWEEN_IDS}'), lambda p: {bare})"
+    pairs = f"list_transform(list_zip({pieces}, list_slice({pieces}, 2, NULL)), lambda z: CASE WHEN regexp_matches(z[1], '{ids.OLD_ARCHIVE}') AND regexp_matches(z[2], '{ids.OLD_NUMBER}') THEN z[1] || '/' || z[2] END)"
+    return f"coalesce(list_filter({pieces}, lambda p: regexp_matches(p, '{ids.NEW_FORM}'))[1], list_filter({pairs}, lambda p: p IS NOT NULL)[1])"
+
+
+def _named_arxiv(x: str) -> str:
+    """SQL for the preprint id of a text that names the server."""
+    after = f"CASE WHEN regexp_matches({x}, '{ids.SERVER}') THEN regexp_replace({x}, '{ids.SERVER}', '') END"
+    return f"CASE WHEN regexp_matches({x}, '(?i)arxiv|48550') THEN coalesce({_found_arxiv(after)}, {_found_arxiv(x)}) END"
 
 
 @query(
-    f"""WITH {LINKS}, m AS (SELECT record_id, link, nullif(regexp_extract(link, '{_MARKED}', 1), '') AS marked,
-      nullif(regexp_extract(link, '\\b([0-9]{{4}}\\.[0-9]{{4,5}})(?:v[0-9]+)?\\b', 1), '') AS bare FROM l),
-    a AS (SELECT record_id, link, CASE WHEN regexp_matches(link, '(?i)arxiv|48550')
-      THEN coalesce(regexp_replace(ltrim(marked, '/'), 'v[0-9]+$', ''), bare) END AS arxiv FROM m)
-    SELECT record_id, link, arxiv, '10.48550/arxiv.' || lower(arxiv) AS arxiv_doi,
-      CASE WHEN regexp_matches(arxiv, '^[0-9]{{4}}\\.[0-9]{{4,5}}$') THEN 2000 + CAST(substr(arxiv, 1, 2) AS INT) END AS submitted FROM a"""
+    f"""WITH {LINKS}, a AS (SELECT record_id, link, {_named_arxiv('link')} AS arxiv FROM l)
+    SELECT record_id, link, arxiv, '{ids.PREPRINT_DOI}.' || lower(arxiv) AS arxiv_doi,
+      CASE WHEN regexp_matches(arxiv, '{ids.NEW_FORM}') THEN 2000 + CAST(substr(arxiv, 1, 2) AS INT) END AS submitted FROM a"""
 )
 def id_arxiv(spark, d):
     """arXiv id of every version link that names the server, its DOI and year of submission."""
@@ -141,14 +149,6 @@ def id_agreement(spark, d):
     return pairs(spark, d).select("entry_id", "record_id", ids.agreement(F.col("e.ids"), F.col("r.ids")).alias("agreement"))
 
 
-@query()
-def id_record_keys(spark, d):
-    """Own keys and linked keys of every record."""
-    r = audit.load_records(spark, d)
-    own, named = ids.own_keys(F.col("ids"), F.col("openalex_work_id")), ids.link_keys(F.col("version_links"))
-    return r.select("record_id", F.array_join(own, " ").alias("own"), F.array_join(named, " ").alias("named"))
-
-
 # ---- strings ------------------------------------------------------------------------------------
 
 
@@ -348,7 +348,16 @@ def sim_pages(spark, d):
     return pairs(spark, d).select("entry_id", "record_id", sim.pages_disjoint(text.page_range(F.col("e.pages")), text.page_range(F.col("r.pages"))).alias("disjoint"))
 
 
-@query()
+_ETAL = "('others', 'et al', 'et al.', 'and others')"
+_SURNAMES = f"list_distinct(list_filter(list_transform(list_filter(list_transform(coalesce({{}}, []), lambda a: {_NAME.format("coalesce(a, '')")}), lambda n: rtrim(n) NOT IN {_ETAL}), lambda n: {_LAST}), lambda l: l <> ''))"
+_TITLE = f"""regexp_replace({FOLD.format("coalesce({}, '')")}, '\\s+', ' ', 'g')"""
+
+
+@query(
+    f"""WITH {PAIRS}, base AS (SELECT entry_id || '|' || record_id AS pid, entry_id, record_id, {_TITLE.format('e.title')} AS tx, {_TITLE.format('r.title')} AS ty, {_SURNAMES.format('e.authors')} AS nx, {_SURNAMES.format('r.authors')} AS ny,
+      {_TITLE.format('e.venue')} AS vx, {_TITLE.format('r.venue')} AS vy FROM p), {fuzzy_sql.scored('base')}
+    SELECT entry_id, record_id, round(CAST(title_ratio AS DOUBLE), 6) AS title_ratio, round(CAST(author_overlap AS DOUBLE), 6) AS author_overlap, round(CAST(venue AS DOUBLE), 6) AS venue FROM sc JOIN base USING (pid)"""
+)
 def sim_fuzzy(spark, d):
     """Title ratio, author overlap and venue compatibility of entries and fetched records."""
     rows = pairs(spark, d)
@@ -427,8 +436,8 @@ def _payload(source: str) -> str:
 
 
 def projected(spark, d, source):
-    r = entries.latest_delivery(table(spark, d, "source_records"), "record_id")
-    return payloads.project(r, source)
+    r = table(spark, d, "source_records").filter(F.col("source") == source).select("record_id", "source", "raw")
+    return payloads.project(r.dropDuplicates(["record_id"]), source)
 
 
 @query(
@@ -452,7 +461,7 @@ def payload_crossref(spark, d):
 )
 def payload_openalex(spark, d):
     """Records from the catalogue's payloads."""
-    r = entries.latest_delivery(table(spark, d, "source_records"), "record_id").filter((F.col("source") == "openalex") & F.try_parse_json("raw").isNotNull() & F.col("raw").rlike(r"^\s*[\[{]"))
+    r = table(spark, d, "source_records").filter((F.col("source") == "openalex") & F.try_parse_json("raw").isNotNull() & F.col("raw").rlike(r"^\s*[\[{]")).dropDuplicates(["record_id"])
     rec = payloads.openalex(payloads.unwrap(F.col("raw")), HOST)
     return r.withColumn("rec", rec).select("record_id", "rec.title", "rec.year", "rec.pages", F.col("rec.openalex").alias("work"), "rec.citation_count")
 
@@ -466,7 +475,21 @@ def payload_semantic_scholar(spark, d):
     return projected(spark, d, "semantic_scholar").select("record_id", "rec.title", "rec.year", "rec.venue", F.col("rec.source_native_id").alias("native"), "rec.citation_count")
 
 
-@query()
+_ITEMS = "CASE json_type(p, '{0}') WHEN 'ARRAY' THEN json_extract(p, '{0}[*]') WHEN 'OBJECT' THEN [json_extract(p, '{0}')] WHEN 'VARCHAR' THEN [json_extract(p, '{0}')] ELSE [] END"
+
+
+def _authors_sql(source: str) -> str:
+    """SQL for the authors of one kind of payload, as an array."""
+    path = {"dblp": "$.authors.author", "crossref": "$.author", "openalex": "$.authorships", "openlibrary": "$.author_name", "google_books": "$.volumeInfo.authors"}.get(source, "$.authors")
+    one = {
+        "crossref": "coalesce(nullif(trim(concat_ws(' ', a ->> 'given', a ->> 'family')), ''), trim(a ->> 'name'))", "openalex": "trim(a ->> '$.author.display_name')", "semantic_scholar": "trim(a ->> 'name')",
+        "dblp": "regexp_replace(trim(CASE WHEN json_type(a) = 'OBJECT' THEN coalesce(a ->> 'text', '') ELSE a ->> '$' END), '\\s+[0-9]{4}$', '')",
+    }.get(source, "trim(a ->> '$')")
+    return f"""SELECT record_id, '{source}' AS source, array_to_string(list_filter(list_transform({_ITEMS.format(path)}, lambda a: coalesce({one}, '')), lambda x: x <> ''), ' | ') AS authors
+      FROM (SELECT record_id, {_UNWRAP} AS p FROM r WHERE source = '{source}' AND json_valid(raw) AND regexp_matches(raw, '^\\s*[\\[{{]'))"""
+
+
+@query(f"WITH {R} " + " UNION ALL ".join(_authors_sql(s) for s in payloads.BY_SOURCE))
 def payload_authors(spark, d):
     """Authors as written in every kind of payload."""
     out = None
@@ -510,7 +533,10 @@ def context_order(spark, d):
     return c.select("bib_file", "key", "text", (F.row_number().over(Window.partitionBy("bib_file", "key").orderBy("ordinal", "text")) - 1).alias("place"))
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT DISTINCT bib_file, regexp_replace(text, '(^|[^\\\\])%[^\n]*', '\\1', 'g') AS body FROM contexts), c AS (SELECT bib_file, unnest(regexp_extract_all(body, '{_CITE_RE}', 2)) AS ks FROM t),
+    k AS (SELECT bib_file, trim(unnest(string_split(ks, ','))) AS key FROM c) SELECT DISTINCT bib_file AS tex_file, key FROM k WHERE key <> ''"""
+)
 def context_keys(spark, d):
     """Keys named by the cite commands inside the citing sentences."""
     return latex.cited_keys(table(spark, d, "contexts").select(F.col("bib_file").alias("tex_file"), "text"))
@@ -568,7 +594,7 @@ def payload_dblp(spark, d):
 
 # ---- pooling, scoring, verdicts -----------------------------------------------------------------
 
-_CAND = f"{R}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY record_id) - 1 AS INT) AS ord FROM r WHERE entry_id IS NOT NULL)"
+_CAND = f"{R}, k AS (SELECT *, record_id + CASE WHEN query_kind = 'id' THEN 0 ELSE {pool.SEARCHED} END AS ord FROM r WHERE entry_id IS NOT NULL)"
 
 
 @query()
@@ -622,20 +648,6 @@ def field_canonical(spark, d):
     return fields.canonical_values(audit.candidates(spark, d)).select("entry_id", "field", "value", F.array_join("sources", "+").alias("sources"))
 
 
-@query()
-def field_findings(spark, d):
-    """Status of every cited field against the canonical value."""
-    f = fields.field_findings(audit.load_entries(spark, d), fields.canonical_values(audit.candidates(spark, d)))
-    return f.select("entry_id", "pos", "field", "bib_value", "canonical_value", "status")
-
-
-@query()
-def field_status_counts(spark, d):
-    """Findings by field and status once nothing is left to be asked."""
-    f = fields.field_findings(audit.load_entries(spark, d), fields.canonical_values(audit.candidates(spark, d)))
-    return fields.status_counts(fields.apply_judgments(f))
-
-
 @query()
 def candidate_features(spark, d):
     """Features and bucket of every entry and representative."""
@@ -683,13 +695,6 @@ def better_versions(spark, d):
     return books.better_versions(e, audit.best_records(audit.assess(e, audit.pooled(spark, d))))
 
 
-@query()
-def book_editions(spark, d):
-    """Editions known of every book, the cited one and the latest."""
-    e = audit.load_entries(spark, d)
-    return audit.book_editions(spark, d, e, audit.errors(spark, d, e))
-
-
 @query(
     f"""WITH {_CAND}, x AS (SELECT entry_id, ord, year FROM k WHERE year IS NOT NULL) SELECT entry_id, arg_max(ord, {{'y': year, 'o': -ord}}) AS ord, max(year) AS year FROM x GROUP BY entry_id"""
 )
@@ -698,14 +703,6 @@ def latest_editions(spark, d):
     return books.latest_edition(audit.candidates(spark, d))
 
 
-@query()
-def alignment(spark, d):
-    """Citing sentences by what can be said of them without a judge."""
-    rows = table(spark, d, "contexts").select("bib_file", "key", "ordinal", "text").distinct()
-    found = resolve.align(rows, audit.load_entries(spark, d), resolve.best_abstract(audit.candidates(spark, d)))
-    return found.groupBy("has_abstract", "status").agg(F.count("*").alias("n"))
-
-
 @query()
 def report(spark, d):
     """Verdict, issues and category of every entry."""

@@ -51,6 +51,8 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables (``spark.checkpoint.dir``)."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="citeloom-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")

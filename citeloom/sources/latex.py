@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 MIN_CONTEXT = 15
 # Environments whose text is no running text.
 VERBATIM = ["verbatim", "lstlisting", "minted", "Verbatim", "comment"]
-CITE = r"\\((?:[Cc]ite|[Pp]arencite|[Tt]extcite|[Aa]utocite|[Ff]ootcite|nocite)[A-Za-z]*)\*?\s*(?:\[[^\]]*\]\s*){0,2}\{([^}]*)\}"
+CITE = r"\\((?:[Cc]ite|[Pp]arencite|[Tt]extcite|[Aa]utocite|[Ff]ootcite|nocite)[A-Za-z]*)\*?\s*(?:\[[^\]]*\]\s*)*\{([^}]*)\}"
 _CITE = re.compile(CITE)
 _INCLUDE = re.compile(r"\\(?:input|include|subfile)\s*\{([^}]+)\}")
 _END = re.compile(r"(?<=[.!?])[\"')\]}]*\s+|\n\s*\n")

@@ -17,8 +17,8 @@ def deliveries(spark: SparkSession, path: str, schema, max_files: int = 100) ->
 
 
 def new_entries(stream: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Rows whose content was not delivered within the delay before."""
-    return stream.withWatermark("loaded_at", delay).dropDuplicatesWithinWatermark(["content_hash"])
+    """Entries not delivered within the delay before; entries that cite the same work stay apart."""
+    return stream.withWatermark("loaded_at", delay).dropDuplicatesWithinWatermark(["entry_id"])
 
 
 def bib_files(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ def test_redelivery_is_dropped(spark, sf, tmp_path):
     stream = drops.new_entries(drops.deliveries(spark, src, one.schema))
     out = str(tmp_path / "out")
     drops.append_to(stream, out, str(tmp_path / "cp")).awaitTermination(120)
-    assert spark.read.parquet(out).count() == one.select("content_hash").distinct().count()
+    assert spark.read.parquet(out).count() == one.select("entry_id").distinct().count()
 
 
 def test_counts(spark, sf, tmp_path):
