@@ -321,44 +321,45 @@ def _hash(key: str) -> int:
     return xxhash.xxh64_intdigest(key) - (1 << 63)
 
 
-def _full_keys(people: DataFrame, rare: DataFrame) -> DataFrame:
-    """``(id, key)`` of people by the codes of surname and full first name, sorted, and of organisations by those of
-    their two rarest words."""
-
-    @F.pandas_udf("array<bigint>")
-    def token_keys(core: pd.Series, given: pd.Series) -> pd.Series:
-        out = []
-        for c, g in zip(core, given, strict=True):
-            firsts = {k for n in first_names(g[0]) for k in code_keys(n, 1)}  # first names have short codes
-            out.append([_hash(k) for k in sorted({" ".join(sorted((x, y))) for x in code_keys(c) for y in firsts})])
-        return pd.Series(out)
-
-    @F.pandas_udf("array<bigint>")
-    def word_keys(words: pd.Series) -> pd.Series:
-        return words.map(lambda ws: [_hash(k) for k in sorted({f"o/{k}" for w in ws for k in code_keys(w.rstrip("."))})])
-
-    mine = people.filter(F.length(F.get("given", F.lit(0))) > 1).select("id", F.explode(token_keys("core", "given")).alias("key"))
-    return mine.union(rare.select("id", F.explode(word_keys("words")).alias("key")))
+def _people_keys(core: str, first: str) -> list[tuple[int, bool]]:
+    """``(key, typo)`` of a person with a full first name: the surname as it stands with the codes of the first name, and
+    (typo) the codes of the surname with the first name's full forms as they stand; the parts are sorted."""
+    forms = first_names(first)
+    same = {" ".join(sorted((core, "/" + k))) for n in forms for k in code_keys(n, 1)}  # first names have short codes
+    typo = {" ".join(sorted((k, n))) for n in forms for k in code_keys(core)}
+    return [(_hash("f" + k), False) for k in sorted(same)] + [(_hash("t" + k), True) for k in sorted(typo)]
 
 
-def _initial_keys(people: DataFrame) -> DataFrame:
-    """``(id, key, lone)`` of people by the codes of the surname and the initial; ``lone``: they give initials only."""
+def _initial_keys(core: str, first: str) -> list[tuple[int, bool]]:
+    """``(key, typo)`` by initial: the surname as it stands, and (typo) its codes."""
+    initials = sorted({n[0] for n in first_names(first)})
+    return [(_hash(f"s{core}/{i}"), False) for i in initials] + [(_hash(f"c{k}/{i}"), True) for k in sorted(code_keys(core)) for i in initials]
 
-    @F.pandas_udf("array<bigint>")
-    def keys(core: pd.Series, given: pd.Series) -> pd.Series:
-        return pd.Series([[_hash(f"{k}/{i}") for k in sorted(code_keys(c)) for i in sorted({n[0] for n in first_names(g[0])})] for c, g in zip(core, given, strict=True)])
 
-    return people.select("id", F.explode(keys("core", "given")).alias("key"), (F.length(F.get("given", F.lit(0))) == 1).alias("lone"))
+KEYS = "array<struct<key:bigint,typo:boolean>>"
 
 
 def _pairs(people: DataFrame, rare: DataFrame) -> DataFrame:
-    """``(a, b)`` of the pairs that share a key; at least one of a pair from surname and initial gives initials only."""
-    full = cut(_full_keys(people, rare), "names-full")
-    some = cut(_initial_keys(people), "names-initials")
-    side = lambda df, s: df.select(F.col("id").alias(s), "key", *([F.col("lone").alias(f"lone_{s}")] if "lone" in df.columns else []))
-    both = side(full, "a").join(side(full, "b"), "key").filter("a < b").select("a", "b")
-    half = side(some.filter("lone"), "a").join(side(some, "b"), "key").filter("a < b or (not lone_b and a <> b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    out = cut(both.union(half).distinct(), "names-pairs")
+    """``(a, b)`` of the pairs that share a key; ``people(id, core, given, n_core)``.
+
+    Full names are paired by their keys, names with initials only with all names of their surname and initial.  A key
+    by codes pairs surnames that can be one word and its misspelling, a bounded number of edits apart.
+    """
+    made = lambda f: F.pandas_udf(lambda core, given: pd.Series([f(c, g[0]) for c, g in zip(core, given, strict=True)]), KEYS)
+    words = F.pandas_udf(lambda ws: ws.map(lambda x: [(_hash(k), False) for k in sorted({f"o/{k}" for w in x for k in code_keys(w.rstrip("."))})]), KEYS)
+    short = F.length(F.get("given", F.lit(0))) == 1
+    row = ["id", "core", "n_core"]
+    full = people.filter(~short).select(*row, F.explode(made(_people_keys)("core", "given")).alias("k"))
+    full = full.union(rare.select("id", F.lit("").alias("core"), F.lit(0).cast("bigint").alias("n_core"), F.explode(words("words")).alias("k")))
+    full = cut(full.select(*row, "k.key", "k.typo"), "names-full")
+    some = cut(people.select(*row, short.alias("lone"), F.explode(made(_initial_keys)("core", "given")).alias("k")).select(*row, "lone", "k.key", "k.typo"), "names-initials")
+    side = lambda df, s: df.select(F.col("id").alias(s), "key", *([F.col("typo")] if s == "a" else []), *[F.col(c).alias(f"{c}_{s}") for c in ("core", "n_core", "lone") if c in df.columns])
+    less, more = F.least("n_core_a", "n_core_b"), F.greatest("n_core_a", "n_core_b")
+    # one edit or swap is at most two edits
+    near = ~F.col("typo") | ((F.col("core_a") != F.col("core_b")) & ((less <= RARE) | (less * OFTEN <= more)) & (F.levenshtein("core_a", "core_b", 2) >= 0))
+    both = side(full, "a").join(side(full, "b"), "key").filter("a < b").filter(near).select("a", "b")
+    half = side(some.filter("lone"), "a").join(side(some, "b"), "key").filter("a < b or (not lone_b and a <> b)").filter(near)
+    out = cut(both.union(half.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "names-pairs")
     drop(full, some)
     return out
 
@@ -370,10 +371,10 @@ def clusters(names: DataFrame) -> DataFrame:
     orgs = forms.filter("kind = 'o'").select("id", F.explode(F.split("core", " ")).alias("word"))
     df = orgs.groupBy("word").agg(F.count("*").alias("n"))
     rare = orgs.join(df, "word").groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "word"))), 1, 2)["word"].alias("words"))
-    pairs = _pairs(forms.filter("kind = 'p' and level >= 0"), rare)
     often = forms.filter("level >= 0").groupBy("kind", "core").agg(F.count("*").alias("n_core"))
     firsts = forms.filter("level >= 0").groupBy(F.get("given", F.lit(0)).alias("first")).agg(F.count("*").alias("n_first"))
-    known = forms.withColumn("first", F.get("given", F.lit(0))).join(often, ["kind", "core"]).join(firsts, "first", "left")
+    known = cut(forms.filter("level >= 0").withColumn("first", F.get("given", F.lit(0))).join(often, ["kind", "core"]).join(firsts, "first", "left"), "known")
+    pairs = _pairs(known.filter("kind = 'p'"), rare)
 
     @F.pandas_udf("boolean")
     def agree(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
@@ -390,16 +391,12 @@ def clusters(names: DataFrame) -> DataFrame:
         row = F.struct("kind", "core", "given", "n_core", F.coalesce("n_first", F.lit(0)).alias("n_first"))
         return known.select(F.col("id").alias(s), F.col("node").alias(f"node_{s}"), F.col("level").alias(f"level_{s}"), row.alias(f"row_{s}"))
 
-    # one edit or swap is at most two edits; only words of which one can be an error of the other are compared further
-    less, more = F.least("row_a.n_core", "row_b.n_core"), F.greatest("row_a.n_core", "row_b.n_core")
-    close = ((less <= RARE) | (less * OFTEN <= more)) & (F.levenshtein(F.col("row_a.core"), F.col("row_b.core"), 2) >= 0)
-    same = (F.col("row_a.core") == F.col("row_b.core")) | (F.col("row_a.kind") == "o") | close
-    full = pairs.join(side("a"), "a").join(side("b"), "b").filter("row_a.kind = row_b.kind").filter(same)
+    full = pairs.join(side("a"), "a").join(side("b"), "b").filter("row_a.kind = row_b.kind")
     accepted = cut(
         full.filter(agree("row_a", "row_b")).select("node_a", "node_b", "level_a", "level_b", F.expr("get(row_a.given, 0) <=> get(row_b.given, 0)").alias("same_first")),
         "accepted",
     )
-    drop(pairs)
+    drop(pairs, known)
     # two nicknames may stand for different names
     level_edges = accepted.filter((F.col("level_a") == F.col("level_b")) & ((F.col("level_a") != NICKNAME) | F.col("same_first")))
     found = connected_components(level_edges, "node_a", "node_b")
