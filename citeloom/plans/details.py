@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import identifiers as ids
 from citeloom.functions import similarity as sim
 from citeloom.functions import text
-from citeloom.operators import books, fields, pool, resolve, score
+from citeloom.operators import adjudicate, books, fields, pool, resolve, score
 from citeloom.plans import audit, fuzzy_sql
 from citeloom.plans.reference import _CAND, _ISBN, _SURNAMES, _TITLE, _TOKENS, HOST, SQL, E, R, _best, _named_arxiv, query
 from citeloom.runtime import cut, table
@@ -601,10 +601,10 @@ _RICH = "{'d': k.ids.doi IS NOT NULL, 'c': coalesce(citation_count, 0), 'n': coa
 _FIRST = ", ".join(f"arg_min(k.ids.{f}, k.ord) FILTER (k.ids.{f} IS NOT NULL) AS {f}" for f in pool.ID_FIELDS)
 _YEAR_RANK = _best("year").split("arg_min(nullif(trim(year), ''), ")[1].split(") FILTER")[0].replace("'b': ord", "'b': k.ord")
 _REPS = f"""{_POOLED}, wide AS (SELECT k.entry_id, comp, arg_max(title, {_RICH}) AS title, arg_max(authors, {_RICH}) AS authors, {', '.join(_best(f).replace("'b': ord", "'b': k.ord") for f in ('venue', 'pages', 'publisher'))},
-      arg_min(year, {_YEAR_RANK}) FILTER (year IS NOT NULL) AS year, max(citation_count) AS citation_count, bool_and(is_preprint) AS is_preprint,
+      arg_min(year, {_YEAR_RANK}) FILTER (year IS NOT NULL) AS year, max(citation_count) AS citation_count, max(edition) AS edition, bool_and(is_preprint) AS is_preprint,
       array_to_string(list_sort(list_distinct(flatten(list(list_concat([source], coalesce(merged_from, [])))))), '+') AS merged_from, count(*) AS n_records, {_FIRST}, list_distinct(flatten(list(coalesce(k.ids.isbn13s, [])))) AS isbn13s
       FROM k JOIN comp c ON c.entry_id = k.entry_id AND c.ord = k.ord GROUP BY k.entry_id, comp),
-    rep AS (SELECT entry_id, comp AS ord, title, authors, year, coalesce(venue, '') AS venue, coalesce(pages, '') AS pages, coalesce(publisher, '') AS publisher, citation_count, is_preprint, merged_from, n_records,
+    rep AS (SELECT entry_id, comp AS ord, title, authors, year, coalesce(venue, '') AS venue, coalesce(pages, '') AS pages, coalesce(publisher, '') AS publisher, citation_count, edition, is_preprint, merged_from, n_records,
       struct_pack(doi := doi, arxiv_id := arxiv_id, isbn13 := isbn13, isbn13s := isbn13s, pmid := pmid, openalex := openalex, google_books := google_books) AS ids FROM wide)"""
 SQL["pool_representatives"] = f"WITH RECURSIVE {_REPS} SELECT entry_id AS entry, ord, title, year, venue, pages, publisher, citation_count, is_preprint, merged_from, n_records FROM rep"
 
@@ -629,7 +629,7 @@ def _both(cte: str, source: str) -> str:
 
 _STRONG = "coalesce(" + " OR ".join(f"e.ids.{f} IS NOT NULL" for f in ids.STRONG) + ", false)"
 _CANDIDATES = (
-    f"SELECT e.entry_id || '|' || rep.ord AS pid, e.entry_id, rep.ord, {_STRONG} AS has_id, e.year AS year_x, rep.year AS year_y, rep.is_preprint, rep.citation_count, "
+    f"SELECT e.entry_id || '|' || rep.ord AS pid, e.entry_id, rep.ord, {_STRONG} AS has_id, e.year AS year_x, rep.year AS year_y, rep.is_preprint, rep.citation_count, rep.edition, "
     + ", ".join(f"e.{c} AS {c}_x, rep.{c} AS {c}_y" for c in ("title", "authors", "venue", "pages", "ids")) + " FROM e JOIN rep ON rep.entry_id = e.entry_id"
 )
 _ASSESSED = f"""{_REPS}, {E}, {_both('f', _CANDIDATES)},
@@ -652,3 +652,48 @@ _VERDICTS = f"""{_ASSESSED}, {_both('h', _ACCEPTED_PAIRS)},
     verdict AS (SELECT *, CASE WHEN n = 1 THEN 'exactly_one' WHEN n > 1 THEN 'multiple' WHEN errored THEN NULL WHEN no_candidates OR rejected THEN 'none' END AS kind,
       CASE WHEN n = 1 THEN 'high' WHEN n > 1 THEN 'medium' WHEN errored THEN NULL WHEN no_candidates THEN 'high' WHEN rejected THEN 'medium' END AS confidence FROM v)"""
 SQL["verdicts"] = f"WITH RECURSIVE {_VERDICTS} SELECT entry_id, kind, confidence, n AS n_artifacts FROM verdict"
+
+_ER = "er AS (SELECT entry_hash, bool_or(error IS NOT NULL) AS errored FROM source_results GROUP BY entry_hash)"
+_BOOK_CTES = _BOOKS.removeprefix(f"{_CAND}, {E}, ").replace(_ER + ",\n    ", "")
+_FINAL = f"""{_VERDICTS}, {_BOOK_CTES},
+    pin AS (SELECT entry_id, arg_min(bucket, ord) FILTER (ids_x.openalex = ids_y.openalex) = 'auto_accept' AS wp, arg_min(bucket, ord) FILTER (ids_x.google_books = ids_y.google_books) = 'auto_accept' AS vp FROM assessed GROUP BY entry_id),
+    ruled AS (SELECT v.*, coalesce(entry_type = 'misc' AND ids.url IS NOT NULL AND ids.doi IS NULL AND ids.arxiv_id IS NULL AND ids.isbn13 IS NULL, false) AS web_only, coalesce(wp, false) OR coalesce(vp, false) AS pinned,
+      r.entry_id IS NOT NULL AND r.matched_ord IS NOT NULL AS matched, coalesce(r.errored, false) AS look_up_failed FROM verdict v LEFT JOIN pin ON pin.entry_id = v.entry_id LEFT JOIN resolved r ON r.entry_id = v.entry_id),
+    second AS (SELECT *, CASE WHEN pinned THEN 'exactly_one' WHEN web_only AND coalesce(kind, 'none') = 'none' THEN NULL ELSE kind END AS kind2 FROM ruled),
+    final AS (SELECT * EXCLUDE (kind), CASE WHEN matched THEN 'exactly_one' WHEN look_up_failed AND kind2 = 'none' THEN NULL ELSE kind2 END AS kind FROM second)"""
+SQL["final_verdicts"] = f"WITH RECURSIVE {_FINAL} SELECT entry_id, kind FROM final"
+SQL["verdict_counts"] = f"""WITH RECURSIVE {_FINAL}, names AS (SELECT unnest(['exactly_one', 'multiple', 'none', 'unresolved']) AS verdict), counted AS (SELECT coalesce(kind, 'unresolved') AS verdict, count(*) AS n FROM final GROUP BY ALL)
+    SELECT verdict, coalesce(n, 0) AS n FROM names LEFT JOIN counted USING (verdict)"""
+
+_BEST = f"""okay AS (SELECT * FROM assessed WHERE bucket = 'auto_accept'),
+    best AS (SELECT entry_id, arg_max({{'ids': ids_y, 'year': year_y, 'edition': edition, 'venue': venue_y}}, {{'p': NOT is_preprint, 'd': ids_y.doi IS NOT NULL, 'c': citation_count, 'o': -ord}}) AS b,
+      arg_min({_PUBLISHED.format('ids_y.doi')}, ord) FILTER ({_PUBLISHED.format('ids_y.doi')} IS NOT NULL) AS published_doi FROM okay GROUP BY entry_id)"""
+_ORDINAL = "CASE lower(regexp_extract(said, '^(\\S+)', 1)) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in text.ORDINALS.items()) + " END"
+_BETTER = f"""{_BEST}, bb AS (SELECT e.entry_id, e.entry_type, e.year, published_doi, b.year AS best_year, b.edition AS n_editions, {_SUBMITTED} AS submitted, CASE WHEN e.ids.doi IS NOT NULL THEN starts_with(e.ids.doi, '{ids.PREPRINT_DOI}') ELSE e.ids.arxiv_id IS NOT NULL END AS preprint,
+      trim(coalesce(raw_fields['edition'], '')) AS said FROM e JOIN best ON best.entry_id = e.entry_id),
+    bc AS (SELECT *, coalesce(TRY_CAST(nullif(regexp_extract(said, '^([0-9]{{1,9}})', 1), '') AS INT), {_ORDINAL}) AS number, entry_type IN ('article', 'inproceedings', 'misc') AND preprint AS paper, entry_type IN ('book', 'incollection') AS book FROM bb),
+    better AS (SELECT entry_id, 'published_version' AS kind, published_doi AS detail FROM bc WHERE paper AND published_doi IS NOT NULL
+      UNION ALL SELECT entry_id, 'newer_preprint', CAST(best_year AS VARCHAR) FROM bc WHERE paper AND published_doi IS NULL AND year = submitted AND best_year > year
+      UNION ALL SELECT entry_id, 'edition_not_given', CAST(n_editions AS VARCHAR) FROM bc WHERE book AND n_editions > 1 AND said = ''
+      UNION ALL SELECT entry_id, 'later_edition', CAST(n_editions AS VARCHAR) FROM bc WHERE book AND n_editions > 1 AND n_editions > number)"""
+SQL["better_versions"] = f"WITH RECURSIVE {_ASSESSED}, {_BETTER} SELECT * FROM better"
+SQL["backfilled"] = f"""WITH RECURSIVE {_ASSESSED}, {_BEST}, s AS (SELECT lower(doi) AS doi, arg_max(resolves, checked_at) FILTER (resolves IS NOT NULL) AS resolves FROM doi_resolution GROUP BY lower(doi)),
+    x AS (SELECT e.entry_id, e.ids.doi IS NULL AS no_doi, e.ids.isbn13 IS NULL AS no_isbn, b.ids.doi AS doi, b.ids.isbn13 AS isbn13, e.venue, s.resolves FROM e JOIN best ON best.entry_id = e.entry_id LEFT JOIN s ON s.doi = b.ids.doi)
+    SELECT entry_id, CASE WHEN resolves THEN 'doi_found' WHEN NOT resolves THEN 'doi_does_not_resolve' ELSE 'doi_unconfirmed' END AS kind, doi AS value FROM x WHERE no_doi AND doi IS NOT NULL
+    UNION ALL SELECT entry_id, 'isbn_found', isbn13 FROM x WHERE no_isbn AND isbn13 IS NOT NULL
+    UNION ALL SELECT entry_id, 'no_doi_expected', venue FROM x WHERE no_doi AND doi IS NULL AND ({" OR ".join(f"contains(lower(venue), '{v}')" for v in ids.NO_DOI_VENUES)})"""
+_REPORT = f"""{_FINAL}, {_BETTER}, later AS (SELECT f.entry_id FROM final f JOIN resolved r ON r.entry_id = f.entry_id WHERE r.matched_ord IS NOT NULL AND r.latest_year > f.year),
+    per_issue AS (SELECT entry_id, count(*) AS n FROM (SELECT entry_id FROM ({SQL['entry_issues']}) UNION ALL SELECT entry_id FROM resolved WHERE matched_ord IS NULL) GROUP BY entry_id),
+    per_nit AS (SELECT entry_id, count(*) AS n FROM ({SQL['field_findings']}) WHERE status = 'formatting' GROUP BY entry_id),
+    per_advice AS (SELECT entry_id, count(*) AS n FROM (SELECT entry_id FROM better UNION ALL SELECT entry_id FROM later) GROUP BY entry_id),
+    figures AS (SELECT f.entry_id, f.entry_type, f.kind, coalesce(i.n, 0) AS n_issues, coalesce(t.n, 0) AS n_formatting, coalesce(a.n, 0) AS n_advisories FROM final f LEFT JOIN per_issue i ON i.entry_id = f.entry_id
+      LEFT JOIN per_nit t ON t.entry_id = f.entry_id LEFT JOIN per_advice a ON a.entry_id = f.entry_id),
+    reported AS (SELECT *, CASE WHEN kind = 'none' THEN 'CAPITAL OFFENCES' WHEN kind IS NULL THEN 'UNABLE TO VERIFY' WHEN n_issues > 0 OR kind = 'multiple' THEN 'ISSUES' WHEN n_formatting > 0 OR n_advisories > 0 THEN 'NITS' ELSE 'NO ISSUES' END AS category FROM figures)"""
+SQL["report"] = f"WITH RECURSIVE {_REPORT} SELECT * FROM reported"
+SQL["report_lines"] = f"WITH RECURSIVE {_REPORT} SELECT category, entry_id || ' [' || entry_type || ']: ' || coalesce(kind, 'unresolved') || ', ' || n_issues || ' issue(s)' AS line FROM reported"
+
+_PARTS = [("cited_title", "title_x"), ("cited_authors", "array_to_string(authors_x, '; ')"), ("cited_year", "CAST(year_x AS VARCHAR)"), ("cited_venue", "venue_x"), ("title", "title_y"), ("authors", "array_to_string(authors_y, '; ')"), ("year", "CAST(year_y AS VARCHAR)"), ("venue", "venue_y")]
+_ASKED = ", ".join(f"'{k}: ' || coalesce(left({v}, {adjudicate.TEXT_CAP}), '(none)')" for k, v in _PARTS)
+_FORM = "; ".join(f"{f} in {'/'.join(v)}" for f, v in adjudicate.ANSWERS["can_correspond"].items())
+SQL["questions"] = f"""WITH RECURSIVE {_ASSESSED}, n AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY round(composite, 9) DESC, ord) AS rank FROM assessed WHERE bucket = 'adjudicate')
+    SELECT entry_id, ord, sha256(concat_ws(chr(10), '{adjudicate.INSTRUCTION['can_correspond']}', 'Answer in JSON: {_FORM}.', {_ASKED})) AS prompt_hash FROM n WHERE rank <= {score.TOP_CANDIDATES}"""
