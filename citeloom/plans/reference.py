@@ -64,7 +64,7 @@ def _found_arxiv(x: str) -> str:
 def _named_arxiv(x: str) -> str:
     """SQL for the preprint id of a text that names the server."""
     after = f"CASE WHEN regexp_matches({x}, '{ids.SERVER}') THEN regexp_replace({x}, '{ids.SERVER}', '') END"
-    return f"CASE WHEN regexp_matches({x}, '(?i)arxiv|48550') THEN coalesce({_found_arxiv(after)}, {_found_arxiv(x)}) END"
+    return f"CASE WHEN regexp_matches({x}, '(?i)arxiv|48550') THEN {_found_arxiv(f"concat_ws(' ', {after}, {x})")} END"
 
 
 @query(
