@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("citeloom.llm")
 
+from citeloom import runtime  # noqa: E402
 from citeloom.llm import components, editdistance, leakage, linkage, lstm, markup, names, packing, subjects, survivorship, venues  # noqa: E402
 
 
@@ -262,6 +263,44 @@ def test_copies_are_linked_once_and_all_paired(spark):
     assert got == {(e[0], r) for e in entry for r in range(40)}
 
 
+def test_pairs_that_cannot_match_never_leave_the_join(spark):
+    """Titles equal but for one word by all different authors: their pairs grow as the square of the rows."""
+    rng = random.Random(3)
+    people = ["".join(rng.choice("bdgklmnprstvz") + rng.choice("aeiou") for _ in range(5)).title() for _ in range(80)]
+    work = lambda i: (f"Zirconium oxide layers at work in the {people[i].lower()} sea", [f"{people[i]}, {people[i][::-1].title()}"], 1900 + 7 * (i % 17), None, str(100 * i + 2))
+    tail = "title string, authors array<string>, year int, venue string, pages string"
+    bib = spark.createDataFrame([(f"e{i}", *work(i)) for i in range(80)], "entry_id string, " + tail)
+    rec = spark.createDataFrame([(i, *work(i)) for i in range(80)], "record_id long, " + tail)
+    scored = linkage.scored_pairs(bib, rec).cache()
+    assert {(r.entry_id, r.record_id) for r in linkage.matches(scored).collect()} == {(f"e{i}", i) for i in range(80)}
+    assert scored.count() < 3 * 80
+
+
+def test_join_loses_no_accepted_pair(spark, sf):
+    """The votes within the join drop no pair that the model accepts among all pairs of a key."""
+    d = sf.replace("sf0.001", "sf0.01")
+    bib, rec = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("bib_entries", "source_records"))
+    common = linkage.common_words(bib, rec)
+    a, b = (linkage.featurize(linkage.classes(t, key)[0], common, key == "record_id").cache() for t, key in ((bib, "entry_id"), (rec, "record_id")))
+    for seed in (None, 1, 2):  # the learnt model, then any patterns
+        of = linkage.learnt(a, b) if seed is None else np.random.default_rng(seed).random(len(linkage.PATTERNS)) * 0.6
+        accepted = (of >= linkage.MIN_CONFIDENCE) & (linkage.PATTERNS[:, linkage.VOTERS.index("authors")] > 0)
+        table = accepted.reshape((3,) * len(linkage.VOTERS))
+        voted = linkage.voted_pairs(linkage.candidates(a, b).drop("narrow"), a, b).collect()
+        want = {(r.id_l, r.id_r) for r in voted if table[tuple(r[v] for v in linkage.VOTERS)]}
+        got = {(r.id_l, r.id_r) for i in range(linkage.PARTS) for r in linkage.likely(a, b, accepted, i).collect()}
+        assert len(want) > 100 and want <= got <= {(r.id_l, r.id_r) for r in voted}
+
+
+def test_sparing_puts_settings_back(spark):
+    names = list(runtime.SPARING)
+    before = [spark.conf.get(n, None) for n in names]
+    with pytest.raises(ValueError), runtime.sparing(spark):
+        assert [spark.conf.get(n) for n in names] == list(runtime.SPARING.values())
+        raise ValueError
+    assert [spark.conf.get(n, None) for n in names] == before
+
+
 # ---- markup -------------------------------------------------------------------------------------
 
 
